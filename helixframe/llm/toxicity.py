@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndar
     rows = docs.join(F.broadcast(chosen), "doc_id").select("y", "text", F.xxhash64("doc_id").alias("o"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in W.pieces(batches):
             f = distinct_features(b.column("text"), p.bits)
             yield pa.record_batch([b.column("y"), b.column("o"), pa.array([x.astype(np.int32) for x in f], pa.list_(pa.int32()))], ["y", "o", "f"])
 
@@ -126,7 +126,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: in
         i, w, b0 = sent.value
         dense = np.zeros(1 << bits)
         dense[i] = w
-        for b in batches:
+        for b in W.pieces(batches):
             idx, doc = features(b.column("text"), bits)
             key = np.unique(((doc << bits) | idx)[dense[idx] != 0])
             total = np.bincount(key >> bits, weights=dense[key & ((1 << bits) - 1)], minlength=b.num_rows) + b0

@@ -6,8 +6,11 @@ Python object is made for a word, and time is a few nanoseconds a byte whatever
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 PIECE = 1 << 20  #: bytes hashed at once, but for longer single words
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -37,6 +40,17 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, offs - offs[0]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts have at most max_bytes, or one text: memory doesn't grow with a batch."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        i, done = 0, 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(size, done + max_bytes, "right")))
+            yield b.slice(i, j - i)
+            i, done = j, int(size[j - 1])
+
+
 def spans(flat: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and len(texts)+1 offsets into the words."""
     w = inside[flat]
