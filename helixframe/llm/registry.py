@@ -12,6 +12,7 @@ MODULES = {
     "op1_toxicity": "toxicity",
     "op2_quality": "quality",
     "op3_langid": "langid",
+    "op4_mixing": "mixing",
     "op7_tokens": "tokens",
     "op8_simhash": "simhash",
     "op10_decontamination": "decontamination",
