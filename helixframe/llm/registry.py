@@ -13,8 +13,11 @@ MODULES = {
     "op2_quality": "quality",
     "op3_langid": "langid",
     "op4_mixing": "mixing",
+    "op5_urls": "urls",
+    "op6_vptree": "vptree",
     "op7_tokens": "tokens",
     "op8_simhash": "simhash",
+    "op9_secrets": "secrets",
     "op10_decontamination": "decontamination",
 }
 
