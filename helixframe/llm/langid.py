@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import id_mod, table
+from .words import pieces
 
 MARK = "▁"  #: word mark of the vocabulary
 _WORD = re.compile(r"[^\W\d_]+")
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _TINY = 1e-9  #: probability of a letter that no piece covers
 
 
@@ -79,15 +81,15 @@ def expect(word: str, p: dict[str, float], longest: int) -> dict[str, float]:
     return out
 
 
-def fit(counts: dict[str, Counter], pieces: set[str], p: Unigrams) -> dict:
+def fit(counts: dict[str, Counter], vocab: set[str], p: Unigrams) -> dict:
     """Languages and, for each piece seen, its probability in each language."""
     langs = sorted(counts)
-    longest = max(map(len, pieces))
+    longest = max(map(len, vocab))
     used: dict[str, dict[str, float]] = {}
     for lang in langs:
         seen: Counter = Counter()
         for w, c in counts[lang].items():
-            for k in {(MARK + w)[i:j] for i in range(len(w)) if i != 1 for j in range(i + 1, min(len(w) + 1, i + longest) + 1)} & pieces:
+            for k in {(MARK + w)[i:j] for i in range(len(w)) if i != 1 for j in range(i + 1, min(len(w) + 1, i + longest) + 1)} & vocab:
                 seen[k] += c
         prob = {k: c / sum(seen.values()) for k, c in seen.items()}
         for _ in range(p.iterations):
@@ -95,7 +97,7 @@ def fit(counts: dict[str, Counter], pieces: set[str], p: Unigrams) -> dict:
             for w, c in counts[lang].items():
                 if len(w) <= 60:
                     for k, v in expect(w, prob, longest).items():
-                        if k in pieces:
+                        if k in vocab:
                             got[k] += c * v
             total = sum(got.values()) or 1.0
             prob = {k: v / total for k, v in got.items() if v > 1e-4}
@@ -107,36 +109,67 @@ def fit(counts: dict[str, Counter], pieces: set[str], p: Unigrams) -> dict:
     return {"langs": langs, "table": table, "longest": max(map(len, table), default=1)}
 
 
-def word_scores(word: str, table: dict[str, tuple], n_langs: int, longest: int) -> list[float]:
-    """log probability of word in each language, over all segmentations.
+def piece_hash(codes: np.ndarray) -> np.ndarray:
+    """A hash of each row of code points, built from the last to the first."""
+    h = np.zeros(len(codes), np.uint64)
+    for k in range(codes.shape[1] - 1, -1, -1):
+        h = h * _BASE + codes[:, k].astype(np.uint64) + np.uint64(1)
+    return h
 
-    Forward sums are rescaled as they shrink, so that a word's length has no limit.
+
+def _codes(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, a row each."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), -1)
+
+
+class Scorer:
+    """log probabilities of words in each language, over all segmentations.
+
+    Words of one length are scored together; forward sums are rescaled as they shrink, so a
+    word's length has no limit.
     """
-    w = MARK + word
-    n, out = len(w), []
-    arcs = []
-    for j in range(2, n + 1):
-        here = []
-        for i in range(max(0, j - longest), j):
-            if i != 1:
-                t = table.get(w[i:j])
-                if t is not None:
-                    here.append((i, t))
-        arcs.append(here)
-    for x in range(n_langs):
-        f, log = [0.0] * (n + 1), 0.0
-        f[0] = 1.0
+
+    def __init__(self, model: dict):
+        self.n, self.longest = len(model["langs"]), model["longest"]
+        pieces = list(model["table"])
+        hashes = np.concatenate([piece_hash(_codes([x])) for x in pieces]) if pieces else np.zeros(1, np.uint64)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        probs = np.array([model["table"][x] for x in pieces]) if pieces else np.zeros((1, self.n))
+        self.probs = np.vstack([probs[order], np.zeros(self.n)])
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        out = np.empty((len(words), self.n))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+            for i in range(0, len(part), 1 << 14):
+                out[part[i : i + (1 << 14)]] = self._same_length([MARK + words[k] for k in part[i : i + (1 << 14)]])
+        return out
+
+    def _same_length(self, words: list[str]) -> np.ndarray:
+        c = _codes(words).astype(np.uint64) + np.uint64(1)
+        n = c.shape[1]
+        f = {0: np.ones((len(words), self.n))}  # the last ``longest`` sums
+        log = np.zeros((len(words), self.n))
         for j in range(2, n + 1):
             total = f[j - 1 if j > 2 else 0] * _TINY
-            for i, t in arcs[j - 2]:
-                total += f[i] * t[x]
+            h = np.zeros(len(words), np.uint64)
+            for i in range(j - 1, max(-1, j - self.longest - 1), -1):
+                h = h * _BASE + c[:, i]
+                if i != 1:  # the mark goes with the first letter
+                    at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                    hit = np.flatnonzero(self.hashes[at] == h)
+                    if len(hit):
+                        total[hit] += f[i][hit] * self.probs[at[hit]]
             f[j] = total
-            if total < 1e-150:
-                for i in range(max(0, j - longest), j + 1):
-                    f[i] *= 1e150
-                log -= 150 * math.log(10)
-        out.append(math.log(f[n]) + log if f[n] > 0 else log - 745.0)
-    return out
+            f.pop(j - self.longest - 1, None)
+            small = total < 1e-100
+            if small.any():
+                for x in f.values():
+                    x[small] *= 1e100
+                log[small] -= 100 * math.log(10)
+        return np.log(np.maximum(f[n], 1e-300)) + log
 
 
 def train(docs: DataFrame, p: Unigrams = Unigrams()) -> dict:
@@ -171,32 +204,24 @@ def predict(docs: DataFrame, model: dict, cache: int = 400_000) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        langs, known, longest = m["langs"], m["table"], m["longest"]
+        langs, scorer = m["langs"], Scorer(m)
         index: dict[str, int] = {}
-        rows: list[list[float]] = []
-
-        def add(w: str) -> int:
-            index[w] = k = len(rows)
-            rows.append(word_scores(w, known, len(langs), longest))
-            return k
-
-        for b in batches:
+        rows = np.zeros((0, len(langs)))
+        for b in pieces(batches):
+            tallies = [Counter(words_of(x)) for x in b.column("text").to_pylist()]
+            if len(index) > cache:  # only a cache: what it drops is computed again
+                index, rows = {}, rows[:0]
+            new = list({w for t in tallies for w in t if w not in index})
+            if new and langs:
+                index.update(zip(new, range(len(rows), len(rows) + len(new)), strict=True))
+                rows = np.concatenate([rows, scorer(new)])
             lang_pred, score = [], []
-            for text in b.column("text").to_pylist():
-                ws = words_of(text)
-                letter = any(w.isalpha() for w in ws) or any(c.isalpha() for w in ws for c in w)
-                if not letter or not langs:
+            for t in tallies:
+                if not langs or not (any(w.isalpha() for w in t) or any(c.isalpha() for w in t for c in w)):
                     lang_pred.append("und")
                     score.append(0.0)
                     continue
-                if len(index) > cache:  # only a cache: what it drops is computed again
-                    index.clear()
-                    rows.clear()
-                total = np.zeros(len(langs))
-                get = index.get
-                tally = Counter(ws)
-                at = [k if (k := get(w)) is not None else add(w) for w in tally]
-                total = np.fromiter(tally.values(), float, len(at)) @ np.array([rows[k] for k in at])
+                total = np.fromiter(t.values(), float, len(t)) @ rows[[index[w] for w in t]]
                 q = np.exp(total - total.max())
                 best = int(np.argmax(total))
                 lang_pred.append(langs[best])
