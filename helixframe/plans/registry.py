@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import harness, relational, scalars  # noqa: F401  they register their queries
+
 FLAGSHIP = "qgram_overlap"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(harness.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(harness.ORACLES)
