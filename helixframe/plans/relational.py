@@ -72,23 +72,20 @@ def qgram_overlap(spark, sf_dir):
     return qgram.diagonals(pairs).withColumn("r", F.row_number().over(best)).filter("r = 1").select("query_id", "string_id", "diag", "n_hits")
 
 
-@query(f"""WITH {SEQS}, {BENCH}, e AS (SELECT string_id, pos, substring(seq, (pos + 1)::INT, 32) AS w FROM (SELECT string_id, seq, unnest(range(0, length(seq) - 31)) AS pos FROM seqs WHERE length(seq) >= 32)),
-p AS (SELECT string_id AS query_id, substring(seq, 1, 32) AS w FROM bench WHERE length(seq) >= 32)
-SELECT query_id, string_id, pos::INT AS pos FROM e JOIN p USING (w)""")
+@query(f"""WITH {SEQS}, {BENCH}, {grams_sql("e", "seqs", 32, 1)}, {grams_sql("p", "bench", 32, 1)}
+SELECT p.string_id AS query_id, p.pos AS query_pos, e.string_id, e.pos FROM e JOIN p USING (gram)""")
 def exact_match(spark, sf_dir):
-    """Where the first 32 symbols of each benchmark sequence occur in the documents."""
-    patterns = sequences(spark, sf_dir, "benchmark", "item_id").select(F.col("string_id").alias("query_id"), F.substring("seq", 1, 32).alias("pattern")).filter("length(pattern) = 32")
-    return joins.exact_match(patterns, sequences(spark, sf_dir), 32).select("query_id", "string_id", "pos")
+    """Where the stretches of 32 symbols of the benchmark's sequences occur in the documents."""
+    patterns = seeds.qgrams(sequences(spark, sf_dir, "benchmark", "item_id"), 32).select(F.col("string_id").alias("query_id"), F.col("pos").alias("query_pos"), F.col("gram").alias("pattern"))
+    return joins.exact_match(patterns, sequences(spark, sf_dir), 32).select("query_id", "query_pos", "string_id", "pos")
 
 
-@query(f"""WITH {SEQS}, {BENCH}, e AS (SELECT string_id, pos, substring(seq, (pos + 1)::INT, 28) AS w, substring(seq, (pos + 13)::INT, 16) AS k FROM
-(SELECT string_id, seq, unnest(range(0, length(seq) - 27)) AS pos FROM seqs WHERE length(seq) >= 28)),
-p AS (SELECT string_id AS query_id, substring(seq, 1, 28) AS w, substring(seq, 13, 16) AS k FROM bench WHERE length(seq) >= 28)
-SELECT query_id, string_id, pos::INT AS pos, hamming(e.w, p.w)::INT AS mismatches FROM e JOIN p USING (k) WHERE hamming(e.w, p.w) <= 3""")
+@query(f"""WITH {SEQS}, {BENCH}, {grams_sql("e", "seqs", 28, 1)}, {grams_sql("p", "bench", 28, 1)}
+SELECT p.string_id AS query_id, p.pos AS query_pos, e.string_id, e.pos, hamming(e.gram, p.gram)::INT AS mismatches FROM e JOIN p ON substring(e.gram, 13, 16) = substring(p.gram, 13, 16) WHERE hamming(e.gram, p.gram) <= 3""")
 def hamming_match(spark, sf_dir):
     """Up to 3 mismatches before an exact seed of the last 16 symbols."""
-    patterns = sequences(spark, sf_dir, "benchmark", "item_id").select(F.col("string_id").alias("query_id"), F.substring("seq", 1, 28).alias("pattern")).filter("length(pattern) = 28")
-    return joins.hamming_match(patterns, sequences(spark, sf_dir), 28, 16, 3).select("query_id", "string_id", "pos", "mismatches")
+    patterns = seeds.qgrams(sequences(spark, sf_dir, "benchmark", "item_id"), 28).select(F.col("string_id").alias("query_id"), F.col("pos").alias("query_pos"), F.col("gram").alias("pattern"))
+    return joins.hamming_match(patterns, sequences(spark, sf_dir), 28, 16, 3).select("query_id", "query_pos", "string_id", "pos", "mismatches")
 
 
 # other joins
