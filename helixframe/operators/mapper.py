@@ -151,3 +151,34 @@ def template_length(pos: Column, end: Column, mate_pos: Column, mate_end: Column
     """TLEN: the fragment's length, positive for its leftmost mate, negative for the other (equal places: the first counts as leftmost)."""
     length = F.greatest(end, mate_end) - F.least(pos, mate_pos)
     return F.when(pos <= mate_pos, length).otherwise(-length)
+
+
+def map_exact(reads: DataFrame, reference: DataFrame, size: int) -> DataFrame:
+    """read_id, ref_id, pos, rc, n: each read's first exact match, and how many it has (reads of one size)."""
+    hits = exact_hits(reads, reference, size)
+    n = hits.groupBy("read_id").agg(F.count("*").alias("n"), F.min(F.struct("ref_id", "pos", "rc")).alias("_h"))
+    return n.select("read_id", "_h.ref_id", "_h.pos", "_h.rc", "n")
+
+
+def map_all(reads: DataFrame, reference: DataFrame, p: Mapper = Mapper()) -> DataFrame:
+    """read_id, ref_id, rc, pos, score, cigar of every distinct alignment of each read above the minimum score."""
+    rows = windows(candidates(reads, reference, p), reads, reference, p)
+    found = scored(rows, p, trace=True).withColumn("pos", (F.col("begin") + F.col("text_begin")).cast("long"))
+    # neighbouring diagonals give one alignment: its end and strand name it
+    return found.groupBy("read_id", "ref_id", "rc", "sink").agg(F.max_by(F.struct("pos", "score", "cigar"), F.struct("score", "pos")).alias("_b")).select("read_id", "ref_id", "rc", "_b.*")
+
+
+def map_pairs(mate1: DataFrame, mate2: DataFrame, reference: DataFrame, least: int = 0, most: int = 500, policy: str = "fr", p: Mapper = Mapper()) -> DataFrame:
+    """The best pair of alignments of each pair of reads (read_id in both), its fragment length, summed and second-best score, and quality.
+
+    All alignments of both mates are paired as the policy says; ties go to the smaller place.
+    """
+    one, two = (map_all(m, reference, p).withColumn("end", F.col("pos") + alignment.reference_length(F.col("cigar"))) for m in (mate1, mate2))
+    found = pairs(one, two, least, most, policy)
+    order = F.struct("pair_score", -F.col("ref_id"), -F.col("pos"), -F.col("o_pos"))
+    best = primitives.best(found, ["read_id"], order, ["ref_id", "pos", "end", "rc", "score", "cigar", "o_pos", "o_end", "o_rc", "o_score", "fragment", "pair_score"])
+    place = best.select("read_id", F.struct("ref_id", "pos", "o_pos").alias("_at"))
+    second = found.join(place, "read_id").filter(F.struct("ref_id", "pos", "o_pos") != F.col("_at")).groupBy("read_id").agg(F.max("pair_score").alias("sec_score"))
+    sizes = mate1.select("read_id", F.length("seq").alias("_n1")).join(mate2.select("read_id", F.length("seq").alias("_n2")), "read_id")
+    out = best.join(second, "read_id", "left").join(sizes, "read_id")
+    return out.withColumn("mapq", mq.mapq(p.scoring, F.col("pair_score"), F.col("sec_score"), F.col("_n1"), F.col("_n2"))).drop("_n1", "_n2")

@@ -44,3 +44,35 @@ def histogram(rows: DataFrame, x: str, half: int) -> DataFrame:
 def histogram_2d(rows: DataFrame, size: int) -> DataFrame:
     clamp = lambda c: F.greatest(F.least(F.col(c), F.lit(size - 1)), F.lit(0)).cast("int").alias(c)
     return rows.groupBy(clamp("x"), clamp("y")).agg(F.count("*").alias("n"))
+
+
+# Fixed values of the comparison's filters: a filter names a kind of pair, a metric and the least difference.
+KINDS = {"all": "true", "distant": "distant", "discordant": "discordant", "diff_ref": "l_ref != r_ref"}
+
+
+def filtered(pairs: DataFrame, kind: str, difference: Column, least: int) -> DataFrame:
+    """The compared reads of a kind whose difference is at least so large."""
+    return pairs.filter(F.expr(KINDS[kind])).filter(difference >= least)
+
+
+def length_histograms(reads: DataFrame) -> DataFrame:
+    return reads.groupBy(numbers.length_bin(F.length("seq")).alias("length_bin")).agg(F.count("*").alias("n"))
+
+
+def edit_correlation(pairs: DataFrame, size: int = 64) -> DataFrame:
+    """x, y, n: both sides' edit distances against each other, clamped."""
+    return histogram_2d(pairs.filter("l_ed is not null and r_ed is not null").select(F.col("l_ed").alias("x"), F.col("r_ed").alias("y")), size)
+
+
+def report_html(title: str, tables: dict[str, DataFrame], most: int = 1000) -> str:
+    """A page with the tables given (summaries: up to ``most`` rows of each are shown, and the page says so where there are more)."""
+    import html
+
+    out = [f"<html><head><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>"]
+    for name, df in tables.items():
+        rows = df.limit(most + 1).collect()
+        cells = lambda tag, values: "<tr>" + "".join(f"<{tag}>{html.escape(str(v))}</{tag}>" for v in values) + "</tr>"
+        out.append(f"<h2>{html.escape(name)}</h2><table>" + cells("th", df.columns) + "".join(cells("td", r) for r in rows[:most]) + "</table>")
+        if len(rows) > most:
+            out.append(f"<p>The first {most} rows.</p>")
+    return "\n".join([*out, "</body></html>"])

@@ -217,3 +217,26 @@ def open_sequences(spark: SparkSession, path: str, strands: tuple[str, ...] = ("
     each = F.array(*[F.struct(F.lit(s).alias("strand"), codecs.STRANDS[s](F.col("seq")).alias("s"), (F.reverse("quals") if "reverse" in s else F.col("quals")).alias("q")) for s in strands])
     out = rows.withColumn("seq", cut).withColumn("quals", q).select("seq_id", "name", F.inline(each))
     return out.select("seq_id", "name", "strand", F.col("s").alias("seq"), F.col("q").cast("array<smallint>").alias("quals"), F.length("s").alias("len"), F.lit("DNA_N").alias("alphabet"))
+
+
+def annotations(spark: SparkSession, path: str) -> DataFrame:
+    """number, name, note, offset, len, n_ambiguous of the sequences of an archive, from its .ann file."""
+
+    def parse(data: bytes) -> Iterator[tuple]:
+        lines = data.decode().splitlines()
+        for k in range(1, len(lines) - 1, 2):
+            head, place = lines[k].split(" ", 2), lines[k + 1].split()
+            yield (k - 1) // 2, head[1] if len(head) > 1 else "", head[2] if len(head) > 2 else "", int(place[0]), int(place[1]), int(place[2])
+
+    return _files(spark, path, parse, "number int, name string, note string, offset long, len int, n_ambiguous int")
+
+
+def holes(spark: SparkSession, path: str) -> DataFrame:
+    """offset, len, symbol of the ambiguous stretches of an archive, from its .amb file."""
+
+    def parse(data: bytes) -> Iterator[tuple]:
+        for line in data.decode().splitlines()[1:]:
+            offset, size, symbol = line.split()
+            yield int(offset), int(size), symbol
+
+    return _files(spark, path, parse, "offset long, len int, symbol string")

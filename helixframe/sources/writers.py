@@ -100,3 +100,21 @@ def fastq_lines(rows: DataFrame, name: Column, seq: Column, quals: Column) -> Da
 
 def write_lines(rows: DataFrame, path: str, gz: bool = False) -> None:
     rows.select("value").write.mode("overwrite").option("compression", "gzip" if gz else "none").text(path)
+
+
+def annotation_lines(sequences: DataFrame, seed: int = 11) -> list[str]:
+    """The .ann file of an archive of sequences (number, name, seq), in the order of number."""
+    rows = list(sequences.select("number", "name", F.length("seq").alias("n"), F.size(F.regexp_extract_all("seq", F.lit("[^ACGT]+"), F.lit(0))).alias("holes")).orderBy("number").toLocalIterator())
+    out, at = [f"{sum(r.n for r in rows)} {len(rows)} {seed}"], 0
+    for r in rows:
+        out += [f"0 {r.name}", f"{at} {r.n} {r.holes}"]
+        at += r.n
+    return out
+
+
+def packed(seq: Column, bits: int = 2) -> Column:
+    """Sequences as hexadecimal digits of 2-bit (A, C, G, T) or 4-bit (one bit a base; N is 15) symbols, the first symbol highest."""
+    if bits == 4:
+        return F.translate(seq, "ACGTN", "1248f")
+    pairs = F.regexp_extract_all(F.concat(F.translate(seq, "ACGT", "0123"), F.when(F.length(seq) % 2 == 1, "0").otherwise("")), F.lit(".."), F.lit(0))
+    return F.array_join(F.transform(pairs, lambda p: F.lower(F.conv(p, 4, 16))), "")

@@ -300,3 +300,31 @@ def test_event_windows(spark, tmp_path):
     w = drain(streams.windowed(e, "5 minutes", None, "1 minute"), "complete", "win", spark).collect()
     assert sorted((r.event_type, r.n, r.total) for r in w) == [("a", 2, 3.0), ("b", 1, 1.0)]
     assert sorted(r.n for r in drain(streams.sessions(e, "10 minutes", "1 minute"), "complete", "ses", spark).collect()) == [1, 2]
+
+
+def test_pairs_of_reads(spark):
+    rng = random.Random(12)
+    ref = "".join(rng.choice("ACGT") for _ in range(1200))
+    flip = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    schema = "read_id long, seq string"
+    m1, m2 = spark.createDataFrame([(1, ref[100:160]), (2, ref[500:560])], schema), spark.createDataFrame([(1, flip(ref[300:360])), (2, ref[600:660])], schema)
+    g = spark.createDataFrame([(0, ref)], "ref_id long, seq string")
+    got = mapper.map_pairs(m1, m2, g).collect()
+    assert [(r.read_id, r.pos, r.o_pos, r.fragment, r.pair_score, r.mapq) for r in got] == [(1, 100, 300, 260, 0, 42)]
+    assert [(r.read_id, r.pos, r.n) for r in mapper.map_exact(m1, g, 60).orderBy("read_id").collect()] == [(1, 100, 1), (2, 500, 1)]
+
+
+def test_archive_files(spark, tmp_path):
+    s = spark.createDataFrame([(0, "a", "ACGTNNA"), (1, "b", "TT")], "number int, name string, seq string")
+    (tmp_path / "x.ann").write_text("\n".join(writers.annotation_lines(s)) + "\n")
+    assert sorted(map(tuple, readers.annotations(spark, str(tmp_path / "x.ann")).collect())) == [(0, "a", "", 0, 7, 1), (1, "b", "", 7, 2, 0)]
+    (tmp_path / "x.amb").write_text("9 2 1\n4 2 N\n")
+    assert list(map(tuple, readers.holes(spark, str(tmp_path / "x.amb")).collect())) == [(4, 2, "N")]
+    assert [tuple(r) for r in s.select(writers.packed(F.lit("ACGTA")), writers.packed(F.lit("ACGTN"), 4)).limit(1).collect()] == [("1b0", "1248f")]
+
+
+def test_report(spark):
+    from helixframe.operators import stats
+
+    page = stats.report_html("a < b", {"t": spark.range(3).toDF("x")}, most=2)
+    assert "a &lt; b" in page and "<td>1</td>" in page and "<td>2</td>" not in page and "first 2 rows" in page
