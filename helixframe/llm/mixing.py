@@ -92,12 +92,16 @@ def drawn(sources: DataFrame, p: Mix) -> DataFrame:
     closing = sources.join(have, "s", "left").select("s", "blocks", F.coalesce("have", F.lit(0)).alias("first"), (F.col("slots") - F.coalesce("have", F.lit(0))).alias("n")).filter("n > 0")
     k = filled.unionByName(closing).select("s", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
     x = k.select("s", "blocks", F.expr("k div blocks").alias("pass"), F.expr("k % blocks").alias("x"))
-    for r in range(p.rounds):  # a swap-or-not round pairs x with key - x and swaps the pair or not
-        key = _uniform(F.col("blocks"), F.lit(p.seed), "s", "pass", F.lit(r))
-        x = x.withColumn("y", F.pmod(key - F.col("x"), F.col("blocks")))
-        x = x.withColumn("x", F.when(F.xxhash64(F.lit(p.seed), "s", "pass", F.lit(r), F.greatest("x", "y")).bitwiseAND(F.lit(1)) == 1, F.col("y")).otherwise(F.col("x")))
-    # never null, and said to be so: else a filter on it is pushed down through all rounds and grows at each
-    return x.groupBy("s", F.coalesce("x", F.lit(-1).cast("long")).alias("block")).agg(F.count("*").alias("taken"))
+
+    def swap_or_not(x: Column, r: Column) -> Column:
+        """One round: x and key - x are a pair, which is swapped or not."""
+        y = F.pmod(_uniform(F.col("blocks"), F.lit(p.seed), F.col("s"), F.col("pass"), r) - x, F.col("blocks"))
+        swap = F.xxhash64(F.lit(p.seed), F.col("s"), F.col("pass"), r, F.greatest(x, y)).bitwiseAND(F.lit(1)) == 1
+        return F.when(swap, y).otherwise(x)
+
+    # all rounds in one expression: as columns one after another they would swell the plan
+    block = F.aggregate(F.sequence(F.lit(0), F.lit(p.rounds - 1)), F.col("x"), swap_or_not)
+    return x.groupBy("s", F.coalesce(block, F.lit(-1).cast("long")).alias("block")).agg(F.count("*").alias("taken"))
 
 
 def packed(rows: DataFrame, sources: DataFrame, p: Mix) -> DataFrame:
