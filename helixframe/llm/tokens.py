@@ -6,7 +6,7 @@ shared folder, so that Spark commits them: a task that is lost and run again lea
 behind, and any store that Spark knows will do. ``export`` puts them out as single files.
 
 Encoding splits a text into the tokenizer's own pre-tokens and encodes each distinct one
-once, by the tokenizers library; texts with characters whose classes differ between the two
+once, by the tokenizers library, while it is remembered; texts with characters whose classes differ between the two
 pattern libraries are encoded whole.
 """
 
@@ -16,6 +16,7 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,11 @@ from . import planes
 from . import words as W
 from .common import partitions, stored, table
 
-CACHE = 300_000
+CACHE = 250_000  #: pre-tokens, and stretches between spaces, that an encoder remembers
+_NOT_BLANK = np.ones(256, bool)
+_NOT_BLANK[0x20] = False
+_START = np.uint64(0x5851F42D4C957F2D)
+_TWO_SPACES = re.compile(r"\s\s")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
@@ -43,7 +48,7 @@ def _unlike() -> re.Pattern:
 
 
 class Encoder:
-    """encode(text): the ids as little-endian unsigned 32-bit integers, without an end id."""
+    """encode(text) and batch(column): ids of the tokenizer, each distinct stretch of text encoded once while remembered."""
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the machine
@@ -55,23 +60,80 @@ class Encoder:
             path = public_tokenizers.path("byte_bpe_50k.json")
         self.whole, self.piece = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.unlike, self.known = _unlike(), {}
+        self.unlike = _unlike()
+        self.known: dict[str, bytes] = {}  # pre-tokens
+        self.stretches: dict[int, bytes] = {}  # by hash
         self.special = [x.content for x in self.whole.get_added_tokens_decoder().values()]
 
-    def encode(self, text: str) -> bytes:
+    def odd(self, text: str) -> bool:
+        """Whether pre-tokens can't be found here as the tokenizer finds them."""
         astral = not text.isascii() and len(text.encode("utf-16-le", "surrogatepass")) != 2 * len(text)
-        if astral or self.unlike.search(text) or any(x in text for x in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts, known = _SPLIT.findall(text), self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            if len(known) > CACHE:  # only a cache: what goes is encoded again
-                known.clear()
-            new = [p for p in set(parts) if p not in known]
-            for p, e in zip(new, self.piece.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([known[p] for p in parts])
+        return bool(astral or self.unlike.search(text) or any(x in text for x in self.special))
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        if self.odd(text):
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        parts = _SPLIT.findall(text)
+        self._learn(set(parts))
+        return b"".join([self.known[p] for p in parts])
+
+    def _learn(self, parts: set[str]) -> None:
+        if len(self.known) > CACHE:  # only a cache: what goes is encoded again
+            self.known.clear()
+        known = self.known
+        new = [p for p in parts if p not in known]
+        for p, e in zip(new, self.piece.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[p] = array("I", e.ids).tobytes()
+
+    def batch(self, column: pa.Array, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids end to end, each text closed by end_id, and each text's number of ids.
+
+        Where no white space neighbours another, each pre-token begins at or after a space, so
+        the stretches between spaces can be encoded one by one. Equal stretches are found by
+        a 64-bit hash of their bytes. Other texts are encoded by themselves.
+        """
+        texts = column.to_pylist()
+        alone = np.array([bool(t) and (t[-1] == " " or _TWO_SPACES.search(t) is not None or self.odd(t)) for t in texts], bool)
+        flat, offs = W.flat_bytes(column)
+        s, e, at = W.spans(flat, offs, _NOT_BLANK)
+        h = W.hashes(flat, s, e)
+        doc = np.repeat(np.arange(len(texts)), np.diff(at))
+        start = s == offs[doc]
+        h[start] ^= _START
+        keep = ~alone[doc]
+        s, e, h, start, doc = s[keep], e[keep], h[keep], start[keep], doc[keep]
+        distinct, where, unit = np.unique(h, return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        if len(self.stretches) > CACHE:
+            self.stretches.clear()
+        stretches, raw = self.stretches, flat.tobytes()
+        new = {k: _SPLIT.findall(("" if f else " ") + raw[a:b].decode()) for k, f, a, b in zip(keys, start[where].tolist(), s[where].tolist(), e[where].tolist(), strict=True) if k not in stretches}
+        self._learn({t for parts in new.values() for t in parts})
+        known = self.known
+        for k, parts in new.items():
+            stretches[k] = known[parts[0]] if len(parts) == 1 else b"".join([known[t] for t in parts])
+        bits = [stretches[k] for k in keys] + [self.encode(texts[i]) for i in np.flatnonzero(alone)] + [np.array([end_id], "<u4").tobytes()]
+        # each text's units: its stretches, or the unit of the whole text, and the end
+        ends = np.searchsorted(doc, np.arange(len(texts)), "right")
+        places, values = np.repeat(ends, 1 + alone), np.full(len(texts) + int(alone.sum()), len(bits) - 1)
+        values[np.flatnonzero(alone) + np.arange(int(alone.sum()))] = len(keys) + np.arange(int(alone.sum()))
+        unit = np.insert(unit, places, values)
+        size = np.fromiter(map(len, bits), np.int64, len(bits)) // 4
+        begin = np.cumsum(size) - size
+        ids = np.frombuffer(b"".join(bits), "<u4")[np.repeat(begin[unit], size[unit]) + W.runs(size[unit])]
+        units = np.diff(np.concatenate([[0], ends])) + 1 + alone
+        return ids, np.add.reduceat(size[unit], np.cumsum(units) - units) if len(texts) else size[:0]
+
+
+_ENCODERS: dict[str | None, Encoder] = {}
+
+
+def encoder_of(path: str | None) -> Encoder:
+    """This process's encoder for a tokenizer: tasks that a worker runs one after another share what it remembers."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def write_files(docs: DataFrame, tokenizer: str | None = None, kind: str = "byte", file_ids: int = 1 << 22) -> DataFrame:
@@ -87,26 +149,27 @@ def write_files(docs: DataFrame, tokenizer: str | None = None, kind: str = "byte
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), Encoder(tokenizer)
-        held: list[bytes] = []
-        ids: list[int | None] = []
+        part, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer)
+        held: list[np.ndarray] = []
+        doc_ids: list[int | None] = []
+        sizes: list[int] = []
         seq = n = 0
 
         def file() -> pa.RecordBatch:
-            nonlocal held, ids, seq, n
-            sizes = [len(x) // 4 for x in held]
-            data = planes.write(np.frombuffer(b"".join(held), "<u4"), ids, sizes, kind)
-            out = pa.record_batch([pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (sum(sizes), pa.int64()), (len(ids), pa.int64()), (data, pa.binary()))], ["part", "seq", "n_ids", "n_docs", "data"])
-            held, ids, seq, n = [], [], seq + 1, 0
+            nonlocal held, doc_ids, sizes, seq, n
+            data = planes.write(np.concatenate(held), doc_ids, sizes, kind)
+            out = pa.record_batch([pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (n, pa.int64()), (len(sizes), pa.int64()), (data, pa.binary()))], ["part", "seq", "n_ids", "n_docs", "data"])
+            held, doc_ids, sizes, seq, n = [], [], [], seq + 1, 0
             return out
 
         for b in W.pieces(batches):
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                held.append(encoder.encode(text) + b"\0\0\0\0")
-                ids.append(doc_id)
-                n += len(held[-1]) // 4
-                if n >= file_ids:
-                    yield file()
+            ids, size = encoder.batch(b.column("text"))
+            held.append(ids)
+            doc_ids += b.column("doc_id").to_pylist()
+            sizes += size.tolist()
+            n += len(ids)
+            if n >= file_ids:
+                yield file()
         if held:
             yield file()
 
