@@ -134,14 +134,15 @@ def search(column: pa.Array, w: Windows | None) -> tuple[np.ndarray, np.ndarray,
     return s, e, np.cumsum(edge)[:-1] > 0, at, np.unique(np.concatenate(pairs))
 
 
-def blocks(bench: DataFrame, block_bytes: int, window: int) -> list[Windows | None]:
-    """The benchmark in blocks of bounded text size; at least one."""
+def block_count(bench: DataFrame, block_bytes: int) -> int:
+    size = bench.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 16)).first()[0] or 0
+    return int(size // block_bytes + 1)
+
+
+def block(bench: DataFrame, k: int, n: int, window: int) -> Windows | None:
+    """The windows of one of n blocks of items; only that block comes to the driver."""
     rows = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
-    size = rows.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
-    n = int(size // block_bytes + 1)
-    part = F.pmod(F.xxhash64("i"), F.lit(n))
-    out = [build_windows([(r.i, r.t) for r in rows.filter(part == k).collect()], window) for k in range(n)]
-    return [x for x in out if x is not None] or [None]
+    return build_windows([(r.i, r.t) for r in rows.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()], window)
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.Table]:
@@ -169,11 +170,11 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard
     returned as often as they occur; an empty table gives an empty result; columns beyond
     those named are ignored. Items without an id go by the empty string.
     """
-    parts = blocks(bench, block_bytes, window)
+    n = block_count(bench, block_bytes)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    if len(parts) > 1:
-        return _contamination_in_blocks(docs, parts, shard_bytes)
-    sent = docs.sparkSession.sparkContext.broadcast(parts[0])
+    if n > 1:
+        return _contamination_in_blocks(docs, bench, n, window, shard_bytes)
+    sent = docs.sparkSession.sparkContext.broadcast(block(bench, 0, 1, window))
     none = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,14 +193,14 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard
     return docs.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def _contamination_in_blocks(docs: DataFrame, parts: list[Windows], shard_bytes: int) -> DataFrame:
+def _contamination_in_blocks(docs: DataFrame, bench: DataFrame, n: int, window: int, shard_bytes: int) -> DataFrame:
     """One pass for each block; hit words and items of a row are then merged by its number."""
     from .common import stored
 
     rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "decontamination")
     passes = []
-    for w in parts:
-        sent = docs.sparkSession.sparkContext.broadcast(w)
+    for k in range(n):
+        sent = docs.sparkSession.sparkContext.broadcast(block(bench, k, n, window))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             w = sent.value
@@ -255,12 +256,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard
     """The rows of documents with all benchmark windows cut out of their texts, and n_chars to match.
 
     Texts without a match stay as they are; a row whose text has no word left after a cut
-    goes. Benchmark blocks take turns, and the first is looked up once more at the end, until
-    none has a match left, as in cut_spans().
+    goes. A cut text is searched again until nothing matches, as in cut_spans(); of a
+    benchmark in several blocks, each block in turn.
     """
-    parts = blocks(bench, block_bytes, window)
-    for w in parts:
-        sent = docs.sparkSession.sparkContext.broadcast(w)
+    n = block_count(bench, block_bytes)
+    for k in range(n):
+        sent = docs.sparkSession.sparkContext.broadcast(block(bench, k, n, window))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             w = sent.value
