@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -59,6 +60,7 @@ def rule_of(host: str, path: str, rules=RULES) -> tuple[str, str] | None:
     return max(fit, key=lambda x: (len(x[0]), x[0]), default=None)
 
 
+@lru_cache(maxsize=4)
 def word_model(p: Bayes) -> dict[str, float]:
     """log probabilities of whole words: by rank in the vocabulary, as its order follows frequency."""
     path = p.vocabulary
