@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import cut, stored, table
+from .common import cut, partitions, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"  #: a word with the white space before it
@@ -90,7 +90,9 @@ def drawn(sources: DataFrame, p: Mix) -> DataFrame:
     filled = cut(counts.withColumn("first", before).withColumn("n", F.least("n", F.greatest(F.col("slots") - F.col("first"), F.lit(0)))).filter("n > 0").select("s", "blocks", "first", "n"))
     have = filled.groupBy("s").agg(F.sum("n").alias("have"))
     closing = sources.join(have, "s", "left").select("s", "blocks", F.coalesce("have", F.lit(0)).alias("first"), (F.col("slots") - F.coalesce("have", F.lit(0))).alias("n")).filter("n > 0")
-    k = filled.unionByName(closing).select("s", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
+    # few rows that become many slots: spread before they do
+    spread = filled.unionByName(closing).repartition(partitions(spark), "s", "first")
+    k = spread.select("s", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
     x = k.select("s", "blocks", F.expr("k div blocks").alias("pass"), F.expr("k % blocks").alias("x"))
 
     def swap_or_not(x: Column, r: Column) -> Column:
@@ -153,9 +155,11 @@ def mixed(docs: DataFrame, p: Mix = Mix()) -> DataFrame:
     spans = parts.select("row", F.explode(F.sequence(F.lit(1), F.col("taken").cast("int"))).alias("time"), F.struct("a", "n").alias("span"))
     spans = spans.groupBy("row", "time").agg(F.array_sort(F.collect_list("span")).alias("spans"))  # at most a row's own blocks
     words = F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))
-    whole = rows.join(spans, "row").withColumn("words", words)
-    text = F.array_join(F.flatten(F.transform("spans", lambda x: F.slice(F.col("words"), (x["a"] + 1).cast("int"), x["n"].cast("int")))), "")
-    return whole.withColumn("text", text).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    cut_out = lambda w: F.array_join(F.flatten(F.transform("spans", lambda x: F.slice(w, (x["a"] + 1).cast("int"), x["n"].cast("int")))), "")
+    # the words as a lambda's argument: else the optimizer would split the text again for every span
+    text = F.element_at(F.transform(F.array(words), cut_out), 1)
+    whole = rows.join(spans, "row").withColumn("text", text)
+    return whole.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
