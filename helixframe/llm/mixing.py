@@ -123,7 +123,7 @@ def overlaps(rows: DataFrame, taken: DataFrame, p: Mix) -> DataFrame:
     lo, end, b = F.col("start"), F.col("start") + F.col("size"), F.col("block")
     parts = rows.filter("size > 0").select("row", "s", "start", "size", F.explode(F.sequence(F.expr(f"start div {p.block}"), F.expr(f"(start + size - 1) div {p.block}"))).alias("block"))
     a = F.greatest(lo, b * p.block)
-    return parts.join(taken, ["s", "block"]).select("row", (a - lo).alias("a"), (F.least(end, (b + 1) * p.block) - a).alias("n"), "taken")
+    return parts.join(taken.hint("merge"), ["s", "block"]).select("row", (a - lo).alias("a"), (F.least(end, (b + 1) * p.block) - a).alias("n"), "taken")
 
 
 def mix(docs: DataFrame, p: Mix = Mix()) -> DataFrame:
@@ -158,7 +158,7 @@ def mixed(docs: DataFrame, p: Mix = Mix()) -> DataFrame:
     cut_out = lambda w: F.array_join(F.flatten(F.transform("spans", lambda x: F.slice(w, (x["a"] + 1).cast("int"), x["n"].cast("int")))), "")
     # the words as a lambda's argument: else the optimizer would split the text again for every span
     text = F.element_at(F.transform(F.array(words), cut_out), 1)
-    whole = rows.join(spans, "row").withColumn("text", text)
+    whole = rows.join(spans.hint("merge"), "row").withColumn("text", text)  # both sides grow with the documents: neither is ever sent whole
     return whole.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
