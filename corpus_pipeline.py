@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import decontamination, mixing, quality, simhash, tokens
+from helixframe.llm import decontamination, mixing, quality, shingles, tokens
 from helixframe.llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,8 +25,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least doc_id."""
-    return simhash.dedup(docs.select(*COLUMNS))
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays: the one with the least doc_id."""
+    return shingles.dedup(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -160,8 +160,9 @@ def simhash(docs: DataFrame, distance: int = 4) -> DataFrame:
 def dedup(docs: DataFrame, distance: int = 4) -> DataFrame:
     """The rows of documents with one document of each component: that with the least doc_id.
 
-    Of rows that share that doc_id, the one whose text is least by a hash stays; rows without
-    a doc_id all stay.
+    This is op8's rule, on fingerprints alone; the pipeline's stage is shingles.dedup(). Of
+    rows that share that doc_id, the one whose text is least by a hash stays; rows without a
+    doc_id all stay.
     """
     rows = stored(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id").distinct(), "dedup")
     prints = cut(rows.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))

@@ -64,3 +64,43 @@ def test_run_is_registered_and_agrees(spark, folder):
 def test_queries_have_names_and_callables():
     names = [k for k in __spark_entry__.queries() if k.startswith("op")]
     assert sorted({int(k[2:].split("_")[0]) for k in names}) == list(range(1, 11))
+
+
+def word_set(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_dedup_finds_all_near_copies(spark):
+    """Planted copies at similarities around 0.8 to 0.95, chains, a large group and a common line, against brute force."""
+    rng = np.random.default_rng(12)
+    vocab = [f"w{i}" for i in range(3000)]
+    line = " ".join(rng.choice(vocab, 30))
+    texts = []
+    for c in range(60):
+        w = rng.choice(vocab, rng.integers(40, 250)).tolist()
+        if c % 3 == 0:
+            w[5:5] = line.split()
+        for k in range(60 if c == 0 else 4):
+            texts.append(" ".join(w))
+            w = list(w) if c % 2 else texts[-k - 1].split()
+            for _ in range(int(rng.integers(1, 1 + max(2, len(w) // 40)))):
+                w[int(rng.integers(0, len(w)))] = str(rng.choice(vocab))
+    texts += ["a b c", "a b c d", "A  b c", "a b c d e f", "x"]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    sets = [word_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    want = sorted({find(i) for i in range(len(texts))})
+    df = spark.createDataFrame([(i, t, "en", "s0", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in pipeline.deduplicate(spark, df, "").collect()) == want and len(want) < len(texts) // 2
