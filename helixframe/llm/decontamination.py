@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import words as W
-from .common import table
+from .common import stored, table
 from .fmindex import FMIndex
 
 WINDOW = 10
@@ -195,8 +195,6 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard
 
 def _contamination_in_blocks(docs: DataFrame, bench: DataFrame, n: int, window: int, shard_bytes: int) -> DataFrame:
     """One pass for each block; hit words and items of a row are then merged by its number."""
-    from .common import stored
-
     rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "decontamination")
     passes = []
     for k in range(n):
@@ -226,6 +224,16 @@ def _contamination_in_blocks(docs: DataFrame, bench: DataFrame, n: int, window:
     )
 
 
+def _without(raw: bytes, s: np.ndarray, e: np.ndarray, hit: np.ndarray) -> str:
+    """A text without its hit words (of bytes s to e), each span of them a line break."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    kept, end = [], 0
+    for a, b in zip(edge[::2], edge[1::2], strict=True):
+        kept.append(raw[end : s[a]])
+        end = e[b - 1]
+    return b"\n".join([*kept, raw[end:]]).decode()
+
+
 def cut_spans(texts: list[str | None], w: Windows | None) -> list[str | None]:
     """The texts without their hit words; each span of them, with what lies between, becomes one line break.
 
@@ -239,13 +247,7 @@ def cut_spans(texts: list[str | None], w: Windows | None) -> list[str | None]:
             raw = (out[i] or "").encode()
             h = hit[at[k] : at[k + 1]]
             if h.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], h.astype(np.int8), [0]])))
-                ws, we = s[at[k] : at[k + 1]] - base, e[at[k] : at[k + 1]] - base
-                kept, end = [], 0
-                for a, b in zip(edge[::2], edge[1::2], strict=True):
-                    kept.append(raw[end : ws[a]])
-                    end = we[b - 1]
-                out[i] = b"\n".join([*kept, raw[end:]]).decode()
+                out[i] = _without(raw, s[at[k] : at[k + 1]] - base, e[at[k] : at[k + 1]] - base, h)
                 changed.append(i)
             base += len(raw)
         todo = np.array(changed, np.int64)
@@ -256,33 +258,88 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard
     """The rows of documents with all benchmark windows cut out of their texts, and n_chars to match.
 
     Texts without a match stay as they are; a row whose text has no word left after a cut
-    goes. A cut text is searched again until nothing matches, as in cut_spans(); of a
-    benchmark in several blocks, each block in turn.
+    goes. A cut text is searched again until nothing matches, as in cut_spans(); a benchmark
+    in several blocks is cut as one block is, see _decontaminate_in_blocks().
     """
     n = block_count(bench, block_bytes)
-    for k in range(n):
-        sent = docs.sparkSession.sparkContext.broadcast(block(bench, k, n, window))
+    docs = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long"))
+    if n > 1:
+        return _decontaminate_in_blocks(docs, bench, n, window, shard_bytes)
+    sent = docs.sparkSession.sparkContext.broadcast(block(bench, 0, 1, window))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            w = sent.value
-            for t in _shards(batches, shard_bytes):
-                text = _column(t, "text")
-                _, _, hit, at, _ = search(text, w)
-                dirty = np.flatnonzero(np.add.reduceat(np.append(hit, False).astype(np.int64), at[:-1]) * (np.diff(at) > 0))
-                if len(dirty):
-                    all_texts = text.to_pylist()
-                    new = cut_spans([all_texts[i] for i in dirty], w)
-                    sizes = t.column("n_chars").to_pylist()
-                    gone = np.ones(t.num_rows, bool)
-                    for i, x in zip(dirty, new, strict=True):
-                        all_texts[i], sizes[i] = x, len(x)
-                        gone[i] = any(c.isalnum() for c in x)
-                    t = t.set_column(t.schema.get_field_index("text"), "text", pa.array(all_texts, text.type))
-                    t = t.set_column(t.schema.get_field_index("n_chars"), "n_chars", pa.array(sizes, pa.int64())).filter(pa.array(gone))
-                yield from t.combine_chunks().to_batches()
-
-        docs = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long")).mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")
-    return docs
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = sent.value
+        for t in _shards(batches, shard_bytes):
+            text = _column(t, "text")
+            _, _, hit, at, _ = search(text, w)
+            dirty = np.flatnonzero(np.add.reduceat(np.append(hit, False).astype(np.int64), at[:-1]) * (np.diff(at) > 0))
+            if len(dirty):
+                all_texts = text.to_pylist()
+                new = cut_spans([all_texts[i] for i in dirty], w)
+                sizes = t.column("n_chars").to_pylist()
+                gone = np.ones(t.num_rows, bool)
+                for i, x in zip(dirty, new, strict=True):
+                    all_texts[i], sizes[i] = x, len(x)
+                    gone[i] = any(c.isalnum() for c in x)
+                t = t.set_column(t.schema.get_field_index("text"), "text", pa.array(all_texts, text.type))
+                t = t.set_column(t.schema.get_field_index("n_chars"), "n_chars", pa.array(sizes, pa.int64())).filter(pa.array(gone))
+            yield from t.combine_chunks().to_batches()
+
+    return docs.mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def _hit_words(rows: DataFrame, bench: DataFrame, k: int, n: int, window: int, shard_bytes: int) -> DataFrame:
+    """(row, spots): the places of words that block k of n hits, of rows that have any."""
+    sent = rows.sparkSession.sparkContext.broadcast(block(bench, k, n, window))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = sent.value
+        for t in _shards(batches, shard_bytes):
+            _, _, hit, at, _ = search(_column(t, "text"), w)
+            some = np.flatnonzero([hit[a:b].any() for a, b in zip(at[:-1], at[1:], strict=True)])
+            spots = [np.flatnonzero(hit[at[i] : at[i + 1]]).tolist() for i in some]
+            yield pa.RecordBatch.from_arrays([_column(t, "row").take(pa.array(some)), pa.array(spots, pa.list_(pa.int64()))], ["row", "spots"])
+
+    found = stored(rows.select("row", "text").mapInArrow(run, "row long, spots array<long>"), "decontamination")
+    sent.destroy()
+    return found
+
+
+def _decontaminate_in_blocks(docs: DataFrame, bench: DataFrame, n: int, window: int, shard_bytes: int) -> DataFrame:
+    """In each round the words that any block hits are found first and then cut together; cut texts go to the next round."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in W.pieces(batches):
+            texts = []
+            for raw, spots in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spots").to_pylist(), strict=True):
+                s, e, _ = W.spans(W.LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]), W.ALNUM)
+                hit = np.zeros(len(s), bool)
+                hit[spots] = True
+                texts.append(_without(raw, s, e, hit))
+            words = pa.array([any(c.isalnum() for c in x) for x in texts], pa.bool_())
+            yield pa.record_batch([b.column("row"), pa.array(texts, pa.string()), words], ["row", "text", "words"])
+
+    rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "decontamination")
+    todo, rounds = rows, []
+    while True:
+        hits = _hit_words(todo, bench, 0, n, window, shard_bytes)
+        for k in range(1, n):
+            hits = hits.union(_hit_words(todo, bench, k, n, window, shard_bytes))
+        if hits.isEmpty():
+            break
+        spots = hits.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("spots"))).alias("spots"))
+        todo = stored(todo.select("row", "text").join(spots, "row").mapInArrow(cut, "row long, text string, words boolean"), "decontamination")
+        rounds.append(todo.withColumn("round", F.lit(len(rounds))))
+    if not rounds:
+        return rows.drop("row")
+    every = rounds[0]
+    for x in rounds[1:]:
+        every = every.union(x)
+    last = every.groupBy("row").agg(F.max_by(F.struct("text", "words"), "round").alias("new"))
+    whole = rows.join(last, "row", "left").filter("new is null or new.words")
+    text = F.when(F.col("new").isNotNull(), F.col("new.text")).otherwise(F.col("text"))
+    size = F.when(F.col("new").isNotNull(), F.length("new.text").cast("long")).otherwise(F.col("n_chars"))
+    return whole.select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""

@@ -465,3 +465,20 @@ def test_decontamination(spark, none):
     assert not any(x[-1] for x in brute_contamination(left.items(), items))
     assert all(left[x[0]] == dict(docs)[x[0]] for x in want if not x[-1])
     assert clean.filter("n_chars != length(text)").count() == 0
+
+
+def test_decontamination_in_blocks(spark, none):
+    """Several blocks cut what one block cuts: overlapping windows of two items, and what a cut brings together."""
+    docs, items = contaminated(spark)
+    names = "abcdefghijklmnopqrstuvwxyz"
+    docs += [(200, "start " + " ".join(names[:16]) + " stop"), (201, "so " + " ".join(f"q{i}" for i in range(5)) + " p " + " ".join(names[:10]) + " " + " ".join(f"q{i}" for i in range(5, 10)) + " end")]
+    items += [(30, " ".join(names[:10])), (31, " ".join(names[6:16])), (32, "p"), *[(40 + k, " ".join(f"q{i}" for i in range(10)) + f" z{k}") for k in range(8)]]
+    cols = "doc_id long, text string, lang string, source string, n_chars long"
+    d, b = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], cols), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(str, decontamination.decontaminate(d, b).collect()))
+    assert decontamination.block_count(b, 300) > 5
+    for size in (300, 900):
+        many = decontamination.decontaminate(d, b, block_bytes=size)
+        assert sorted(map(str, many.collect())) == one
+        assert not any(x[-1] for x in brute_contamination([(r.doc_id, r.text) for r in many.collect()], items))
+    assert decontamination.decontaminate(d.limit(0), b, block_bytes=300).count() == 0
