@@ -33,11 +33,15 @@ CHUNK = 1 << 19  #: occurrences located at once
 class Windows:
     """The distinct windows of a block of items, over the block's own vocabulary.
 
-    vocab: sorted word hashes, whose places are symbols 1..; owners: item numbers of each
-    window, end to end with offsets.
+    vocab: sorted word hashes, whose places are symbols 1..; text: the words' bytes end to end,
+    offsets text_at; twins: symbols of further words that share a word's hash; owners: item
+    numbers of each window, end to end with offsets.
     """
 
     vocab: np.ndarray
+    text: np.ndarray
+    text_at: np.ndarray
+    twins: dict[bytes, int]
     seen: np.ndarray  #: a bitmap of the hashes' first 16 bits
     patterns: np.ndarray
     lengths: np.ndarray
@@ -46,51 +50,58 @@ class Windows:
     items: list[str]
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words of all texts, their hashes, offsets of each text's words."""
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' lower-cased bytes, starts and ends of all words, their hashes, offsets of each text's words."""
     flat, offs = W.flat_bytes(column)
     flat = W.LOWER[flat]
     s, e, at = W.spans(flat, offs, W.ALNUM)
-    return s, e, W.hashes(flat, s, e), at
+    return flat, s, e, W.hashes(flat, s, e), at
 
 
 def build_windows(items: list[tuple[str, str]], window: int = WINDOW) -> Windows | None:
     """items: (item id, text). None if no item has a word."""
-    _, _, h, at = word_hashes(pa.array([t for _, t in items], pa.string()))
+    flat, s, e, h, at = word_hashes(pa.array([t for _, t in items], pa.string()))
     if not len(h):
         return None
-    vocab, symbol = np.unique(h, return_inverse=True)
+    vocab, first, symbol = np.unique(h, return_index=True, return_inverse=True)
+    symbol = symbol + 1
+    twins: dict[bytes, int] = {}  # words of one hash: all but the first have symbols of their own
+    for i in np.flatnonzero(~W.equal(flat, s, e, flat, s[first[symbol - 1]], e[first[symbol - 1]])):
+        symbol[i] = twins.setdefault(flat[s[i] : e[i]].tobytes(), len(vocab) + 1 + len(twins))
+    text_at = np.concatenate([[0], np.cumsum(e[first] - s[first])])
+    text = flat[np.repeat(s[first] - text_at[:-1], np.diff(text_at)) + np.arange(text_at[-1])]
     names = sorted({i for i, _ in items})
     number = {x: k for k, x in enumerate(names)}
-    found: dict[tuple, set[int]] = {}
-    for (name, _), a, b in zip(items, at[:-1], at[1:], strict=True):
-        s = (symbol[a:b] + 1).tolist()
-        for k in range(max(1, len(s) - window + 1) if s else 0):
-            found.setdefault(tuple(s[k : k + window]), set()).add(number[name])
-    keys = list(found)
-    lengths = np.array([len(k) for k in keys])
-    patterns = np.zeros((len(keys), int(lengths.max())), np.int64)
-    for r, k in enumerate(keys):
-        patterns[r, : len(k)] = k
-    owners = [sorted(found[k]) for k in keys]
+    words = np.diff(at)
+    count = np.where(words > 0, np.maximum(1, words - window + 1), 0)
+    item = np.repeat(np.array([number[i] for i, _ in items]), count)
+    start, end = np.repeat(at[:-1], count) + W.runs(count), np.repeat(at[1:], count)
+    place = start[:, None] + np.arange(min(window, int(words.max())))
+    rows = np.where(place < end[:, None], symbol[np.minimum(place, len(symbol) - 1)], 0).astype(np.int32)
+    as_key = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel()
+    _, which, owned = np.unique(as_key, return_index=True, return_inverse=True)
+    pairs = np.unique(owned * len(names) + item)
     seen = np.zeros(1 << 16, bool)
     seen[(vocab >> np.uint64(48)).astype(np.int64)] = True
-    return Windows(vocab, seen, patterns, lengths, np.concatenate([[0], np.cumsum([len(o) for o in owners])]), np.concatenate(owners).astype(np.int64), names)
+    return Windows(vocab, text, text_at, twins, seen, rows[which], (rows[which] > 0).sum(1), np.searchsorted(pairs, np.arange(len(which) + 1) * len(names)), pairs % len(names), names)
 
 
-def symbols(h: np.ndarray, w: Windows) -> np.ndarray:
-    """Each word's symbol, 0 for words that no item has."""
+def symbols(flat: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray, w: Windows) -> np.ndarray:
+    """Each word's symbol, 0 for words that no item has: found by hash, then compared by bytes."""
     out = np.zeros(len(h), np.int64)
     maybe = np.flatnonzero(w.seen[(h >> np.uint64(48)).astype(np.int64)])
     k = np.minimum(np.searchsorted(w.vocab, h[maybe]), len(w.vocab) - 1)
-    ok = w.vocab[k] == h[maybe]
-    out[maybe[ok]] = k[ok] + 1
+    met = w.vocab[k] == h[maybe]
+    maybe, k = maybe[met], k[met]
+    same = W.equal(flat, s[maybe], e[maybe], w.text, w.text_at[k], w.text_at[k + 1])
+    out[maybe[same]] = k[same] + 1
+    for i in maybe[~same]:
+        out[i] = w.twins.get(flat[s[i] : e[i]].tobytes(), 0)
     return out
 
 
-def occurrences(h: np.ndarray, at: np.ndarray, w: Windows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def occurrences(sym: np.ndarray, at: np.ndarray, w: Windows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(word places, window numbers) of all occurrences in the shard, in bounded chunks."""
-    sym = symbols(h, w)
     n = len(sym)
     cut = np.zeros(n + 1, bool)
     cut[at] = True
@@ -105,7 +116,7 @@ def occurrences(h: np.ndarray, at: np.ndarray, w: Windows) -> Iterator[tuple[np.
     place = np.repeat(a, size) + W.runs(size)  # the last of each run is its end
     text = np.append(sym, 0)[np.minimum(place, n)]
     text[np.cumsum(size) - 1] = 0
-    index = FMIndex(text, len(w.vocab) + 1)
+    index = FMIndex(text, len(w.vocab) + len(w.twins) + 1)
     lo, hi = index.search(w.patterns, w.lengths)
     some = np.flatnonzero(hi > lo)
     if not len(some):
@@ -120,10 +131,10 @@ def occurrences(h: np.ndarray, at: np.ndarray, w: Windows) -> Iterator[tuple[np.
 
 def search(column: pa.Array, w: Windows | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word starts, ends and hits, each text's word offsets, and (text << 32 | item) of all matches."""
-    s, e, h, at = word_hashes(column)
+    flat, s, e, h, at = word_hashes(column)
     edge, pairs = np.zeros(len(h) + 1, np.int64), [np.zeros(0, np.int64)]
     if w is not None and len(h):
-        for place, win in occurrences(h, at, w):
+        for place, win in occurrences(symbols(flat, s, e, h, w), at, w):
             np.add.at(edge, place, 1)
             np.add.at(edge, place + w.lengths[win], -1)
             doc = np.searchsorted(at, place, "right") - 1
@@ -147,12 +158,13 @@ def block(bench: DataFrame, k: int, n: int, window: int) -> Windows | None:
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
-    for b in batches:
-        for k in range(0, b.num_rows, 1000):
-            held.append(b.slice(k, 1000))
-            if sum(x.nbytes for x in held) >= shard_bytes:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held = []
+    size = 0
+    for b in W.pieces(batches, max_bytes=min(shard_bytes, 1 << 20)):
+        held.append(b)
+        size += b.nbytes
+        if size >= shard_bytes:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -162,7 +174,7 @@ def _column(t: pa.Table, name: str) -> pa.Array:
     return c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)
 
 
-def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard_bytes: int = 16 << 20, block_bytes: int = 16 << 20) -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard_bytes: int = 16 << 20, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs.
 
     An item shorter than the window is one window itself; items without words match nothing,
@@ -210,7 +222,8 @@ def _contamination_in_blocks(docs: DataFrame, bench: DataFrame, n: int, window:
                     names[p >> 32].append(w.items[p & 0xFFFFFFFF])
                 yield pa.RecordBatch.from_arrays([_column(t, "row"), pa.array(np.diff(at)), pa.array(spots, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], ["row", "n_words", "spots", "names"])
 
-        passes.append(rows.select("row", "text").mapInArrow(run, "row long, n_words long, spots array<long>, names array<string>"))
+        passes.append(stored(rows.select("row", "text").mapInArrow(run, "row long, n_words long, spots array<long>, names array<string>"), "decontamination"))
+        sent.destroy()
     every = passes[0]
     for x in passes[1:]:
         every = every.union(x)
@@ -254,7 +267,7 @@ def cut_spans(texts: list[str | None], w: Windows | None) -> list[str | None]:
     return out
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard_bytes: int = 16 << 20, block_bytes: int = 16 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard_bytes: int = 16 << 20, block_bytes: int = 4 << 20) -> DataFrame:
     """The rows of documents with all benchmark windows cut out of their texts, and n_chars to match.
 
     Texts without a match stay as they are; a row whose text has no word left after a cut

@@ -30,7 +30,6 @@ from .common import partitions, stored, table
 CACHE = 250_000  #: pre-tokens, and stretches between spaces, that an encoder remembers
 _NOT_BLANK = np.ones(256, bool)
 _NOT_BLANK[0x20] = False
-_START = np.uint64(0x5851F42D4C957F2D)
 _TWO_SPACES = re.compile(r"\s\s")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
@@ -62,7 +61,7 @@ class Encoder:
         self.piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.unlike = _unlike()
         self.known: dict[str, bytes] = {}  # pre-tokens
-        self.stretches: dict[int, bytes] = {}  # by hash
+        self.stretches: dict[bytes, bytes] = {}
         self.special = [x.content for x in self.whole.get_added_tokens_decoder().values()]
 
     def odd(self, text: str) -> bool:
@@ -91,7 +90,8 @@ class Encoder:
 
         Where no white space neighbours another, each pre-token begins at or after a space, so
         the stretches between spaces can be encoded one by one. Equal stretches are found by
-        a 64-bit hash of their bytes. Other texts are encoded by themselves.
+        a 64-bit hash and compared byte by byte; texts with a stretch whose hash is another's,
+        and texts with neighbouring white space, are encoded by themselves.
         """
         texts = column.to_pylist()
         alone = np.array([bool(t) and (t[-1] == " " or _TWO_SPACES.search(t) is not None or self.odd(t)) for t in texts], bool)
@@ -99,16 +99,23 @@ class Encoder:
         s, e, at = W.spans(flat, offs, _NOT_BLANK)
         h = W.hashes(flat, s, e)
         doc = np.repeat(np.arange(len(texts)), np.diff(at))
-        start = s == offs[doc]
-        h[start] ^= _START
-        keep = ~alone[doc]
-        s, e, h, start, doc = s[keep], e[keep], h[keep], start[keep], doc[keep]
-        distinct, where, unit = np.unique(h, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
+        start = s != offs[doc]
+        s = s - start  # the space before belongs to a stretch, but at a text's start
+        h[start] = W.mix(h[start])
+        while True:
+            keep = ~alone[doc]
+            s, e, h, doc = s[keep], e[keep], h[keep], doc[keep]
+            distinct, where, unit = np.unique(h, return_index=True, return_inverse=True)
+            first = where[unit]
+            same = W.equal(flat, s, e, flat, s[first], e[first])
+            if same.all():
+                break
+            alone[doc[~same]] = True
         if len(self.stretches) > CACHE:
             self.stretches.clear()
         stretches, raw = self.stretches, flat.tobytes()
-        new = {k: _SPLIT.findall(("" if f else " ") + raw[a:b].decode()) for k, f, a, b in zip(keys, start[where].tolist(), s[where].tolist(), e[where].tolist(), strict=True) if k not in stretches}
+        keys = [raw[a:b] for a, b in zip(s[where].tolist(), e[where].tolist(), strict=True)]
+        new = {k: _SPLIT.findall(k.decode()) for k in keys if k not in stretches}
         self._learn({t for parts in new.values() for t in parts})
         known = self.known
         for k, parts in new.items():

@@ -6,13 +6,15 @@ Python object is made for a word, and time is a few nanoseconds a byte whatever
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20  #: bytes hashed at once, but for longer single words
+LONG = 512  #: bytes of a word that are hashed eight at a time
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -66,20 +68,6 @@ def spans(flat: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.nd
     return s, np.flatnonzero(last) + 1, np.searchsorted(s, offs)
 
 
-_pow = np.ones(1, np.uint64)
-_inv = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) < n + 1:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        with np.errstate(over="ignore"):
-            _pow = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE)]))
-            _inv = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, inverse)]))
-    return _pow, _inv
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that every bit of a hash depends on all others."""
     with np.errstate(over="ignore"):
@@ -88,19 +76,46 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
+def _lanes(flat: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of flat on, as little-endian numbers; zeros follow its end."""
+    return np.ndarray((len(flat) + 1,), "<u8", np.concatenate([flat, np.zeros(8, np.uint8)]), strides=(1,))
+
+
 def hashes(flat: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: the same for the same bytes in any batch."""
-    out, i = np.empty(len(s), np.uint64), 0
+    """A 64-bit hash of each word's bytes: the same for the same bytes in any batch.
+
+    Different words may share a hash (not if both have seven bytes at most): where that
+    matters, ``equal`` tells.
+    """
+    lanes, n = _lanes(flat), e - s
+    h = lanes[s] & _MASK[np.minimum(n, 8)]
     with np.errstate(over="ignore"):
-        while i < len(s):
-            j = max(i + 1, int(np.searchsorted(e, s[i] + PIECE, "right")))
-            a, b = int(s[i]), int(e[j - 1])
-            p, q = _powers(max(PIECE, b - a))
-            c = np.zeros(b - a + 1, np.uint64)
-            np.cumsum((flat[a:b].astype(np.uint64) + np.uint64(1)) * p[: b - a], out=c[1:])
-            out[i:j] = mix((c[e[i:j] - a] - c[s[i:j] - a]) * q[s[i:j] - a])
-            i = j
-    return out
+        h = mix(np.where(n < 8, h | n.astype(np.uint64) << np.uint64(56), mix(h + _BASE) + n.astype(np.uint64)))
+        long = n > LONG
+        todo, k = np.flatnonzero((n > 8) & ~long), 8
+        while len(todo):
+            h[todo] = mix((h[todo] ^ (lanes[s[todo] + k] & _MASK[np.minimum(n[todo] - k, 8)])) * _BASE)
+            k += 8
+            todo = todo[n[todo] > k]
+    for i in np.flatnonzero(long):
+        h[i] = int.from_bytes(hashlib.blake2b(flat[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def equal(flat: np.ndarray, s: np.ndarray, e: np.ndarray, other: np.ndarray, os: np.ndarray, oe: np.ndarray) -> np.ndarray:
+    """Whether flat[s:e] and other[os:oe] hold the same bytes, pair by pair."""
+    n = e - s
+    same = n == oe - os
+    a, b = _lanes(flat), _lanes(other)
+    todo, k = np.flatnonzero(same), 0
+    while len(todo) and k < LONG:
+        differ = ((a[s[todo] + k] ^ b[os[todo] + k]) & _MASK[np.minimum(n[todo] - k, 8)]) != 0
+        same[todo[differ]] = False
+        k += 8
+        todo = todo[~differ & (n[todo] > k)]
+    for i in todo:
+        same[i] = np.array_equal(flat[s[i] + k : e[i]], other[os[i] + k : oe[i]])
+    return same
 
 
 def runs(counts: np.ndarray) -> np.ndarray:

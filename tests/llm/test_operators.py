@@ -482,3 +482,50 @@ def test_decontamination_in_blocks(spark, none):
         assert sorted(map(str, many.collect())) == one
         assert not any(x[-1] for x in brute_contamination([(r.doc_id, r.text) for r in many.collect()], items))
     assert decontamination.decontaminate(d.limit(0), b, block_bytes=300).count() == 0
+
+
+# equal hashes of different words
+
+
+def thue_morse(order):
+    a, b = "a", "b"
+    for _ in range(order):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_hashes_tell_words_apart():
+    """Long words whose polynomial hashes meet, words beside the ends of the lanes, and equal() on all of them."""
+    a, b = thue_morse(10)
+    names = [a, b, a * 3, b * 3, "", *("x" * n for n in range(1, 30)), *("x" * n + "\0" for n in range(1, 30)), "x" * 511, "x" * 512, "x" * 513, "x" * 514]
+    flat = np.frombuffer("".join(names).encode(), np.uint8)
+    size = np.array([len(x) for x in names])
+    e = np.cumsum(size)
+    s = e - size
+    assert len(set(words.hashes(flat, s, e).tolist())) == len(names)
+    i, j = np.repeat(np.arange(len(names)), len(names)), np.tile(np.arange(len(names)), len(names))
+    assert (words.equal(flat, s[i], e[i], flat, s[j], e[j]) == (i == j)).all()
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_equal_hashes_do_no_harm(weak, monkeypatch):
+    """Token ids and hits stay right if many words share a hash."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    if weak:
+        monkeypatch.setattr(words, "hashes", lambda flat, s, e: ((e - s) % 5).astype(np.uint64) << np.uint64(60))
+    a, b = thue_morse(10)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["x " + a, "x " + b, a, b, GOOD, "the cat sat on the mat and the dog", None, GOOD + " " + a]
+    ids, size = tokens.Encoder().batch(pa.array(texts))
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
+    assert size.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    w9 = thue_morse(9)[0]
+    items = [("x", f"{thue_morse(9)[0]}{a}"), ("y", GOOD), ("z", "sat on")]
+    docs = [(0, f"{w9}{b}"), (1, f"{w9}{a}"), (2, GOOD.upper()), (3, "the cat sat on the mat"), (4, None), (5, " ".join(reversed(GOOD.split())))]
+    w = decontamination.build_windows(items)
+    _, _, hit, at, pairs = decontamination.search(pa.array([x for _, x in docs]), w)
+    brute = list(brute_contamination(docs, items))
+    assert [int(hit[p:q].sum()) for p, q in zip(at[:-1], at[1:])] == [x[2] for x in brute]
+    assert np.bincount(pairs >> 32, minlength=len(docs)).tolist() == [x[3] for x in brute]
