@@ -98,22 +98,24 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndar
         .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_rows)
     )
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("y", "text", F.xxhash64("doc_id").alias("o"))
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.pieces(batches):
             f = distinct_features(b.column("text"), p.bits)
-            yield pa.record_batch([b.column("y"), b.column("o"), pa.array([x.astype(np.int32) for x in f], pa.list_(pa.int32()))], ["y", "o", "f"])
+            yield pa.record_batch([b.column("doc_id"), b.column("y"), b.column("h"), pa.array([x.astype(np.int32) for x in f], pa.list_(pa.int32()))], ["doc_id", "y", "h", "f"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = []
+        seen = []  # max_rows rows
         for b in batches:
             seen += zip(b.column("y").to_pylist(), (np.asarray(x.values, dtype=np.int64) for x in b.column("f")), strict=True)
         w, b0 = fit_ftrl(seen, p)
         i = np.flatnonzero(w)
         yield pa.record_batch([pa.array(np.append(i, -1)), pa.array(np.append(w[i], b0))], ["i", "w"])
 
-    found = rows.mapInArrow(extract, "y int, o long, f array<int>").repartition(1).sortWithinPartitions("o", "y").mapInArrow(learn, "i long, w double").collect()
+    each = rows.mapInArrow(extract, "doc_id long, y int, h long, f array<int>").groupBy("doc_id").agg(F.min("y").alias("y"), F.min_by("f", F.struct("h", "f")).alias("f"))
+    each = each.select("y", F.xxhash64("doc_id").alias("o"), "doc_id", "f")
+    found = each.repartition(1).sortWithinPartitions("o", "doc_id").mapInArrow(learn, "i long, w double").collect()
     kept = sorted((r.i, r.w) for r in found)
     return np.array([i for i, _ in kept[1:]], np.int64), np.array([w for _, w in kept[1:]]), kept[0][1] if kept else 0.0
 
