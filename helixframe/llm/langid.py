@@ -63,21 +63,36 @@ def words_of(text: str | None) -> list[str]:
 
 
 def expect(word: str, p: dict[str, float], longest: int) -> dict[str, float]:
-    """Expected number of times that each piece is used in word (forward-backward)."""
+    """Expected number of times that each piece is used in word (forward-backward).
+
+    Sums are rescaled as they shrink, so a word's length has no limit; time is linear in it.
+    """
     w = MARK + word
     n = len(w)
-    arcs = [(i, j, q, w[i:j]) for j in range(2, n + 1) for i in range(max(0, j - longest), j) if i != 1 or j > 1 if (q := p.get(w[i:j], _TINY if j - i == 1 + (i == 0) else 0.0))]
-    arcs = [a for a in arcs if a[0] != 1]  # the mark goes with the first letter
-    f, b = [0.0] * (n + 1), [0.0] * (n + 1)
-    f[0] = b[n] = 1.0
-    for i, j, q, _ in arcs:
-        f[j] += f[i] * q
-    for i, j, q, _ in reversed(arcs):
-        b[i] += q * b[j]
-    out: dict[str, float] = defaultdict(float)
-    if f[n] > 0:
-        for i, j, q, s in arcs:
-            out[s] += f[i] * q * b[j] / f[n]
+    # (from, to, probability, piece); the mark goes with the first letter
+    arcs = [[(i, q, w[i:j]) for i in range(max(0, j - longest), j) if i != 1 if (q := p.get(w[i:j], _TINY if j - i == 1 + (i == 0) else 0.0))] for j in range(n + 1)]
+    # alive[j]: whether w[:j] has a segmentation; grown[j]: the sum over them, over the one before
+    alive, grown = [True] + [False] * n, [1.0] * (n + 1)
+
+    def shares(j: int) -> Iterator[tuple[int, float, str]]:
+        """(from, sum through the arc over the sum at j-1, piece) of the arcs to j."""
+        apart, at = 1.0, j - 1  # growth from ``at`` to j-1
+        for i, q, s in reversed(arcs[j]):
+            while at > i:
+                apart *= grown[at]
+                at -= 1
+            if alive[i]:
+                yield i, q / max(apart, 1e-300), s
+
+    for j in range(2, n + 1):
+        total = sum(q for _, q, _ in shares(j))
+        alive[j], grown[j] = total > 0, total or 1.0
+    passes, out = [0.0] * n + [1.0], defaultdict(float)  # passes[j]: the share of segmentations with an end at j
+    for j in range(n, 1, -1):
+        if alive[n] and passes[j]:
+            for i, q, s in shares(j):
+                passes[i] += passes[j] * q / grown[j]
+                out[s] += passes[j] * q / grown[j]
     return out
 
 
@@ -95,10 +110,9 @@ def fit(counts: dict[str, Counter], vocab: set[str], p: Unigrams) -> dict:
         for _ in range(p.iterations):
             got: dict[str, float] = defaultdict(float)
             for w, c in counts[lang].items():
-                if len(w) <= 60:
-                    for k, v in expect(w, prob, longest).items():
-                        if k in vocab:
-                            got[k] += c * v
+                for k, v in expect(w, prob, longest).items():
+                    if k in vocab:
+                        got[k] += c * v
             total = sum(got.values()) or 1.0
             prob = {k: v / total for k, v in got.items() if v > 1e-4}
         used[lang] = prob
@@ -179,7 +193,7 @@ def train(docs: DataFrame, p: Unigrams = Unigrams()) -> dict:
     if not sizes:
         return {"langs": [], "table": {}, "longest": 1}
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, p.docs_per_lang / n)))])
-    u = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1_000_003)) / 1_000_003.0
+    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / 1_000_003.0
     sample = docs.filter(u < share[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +201,7 @@ def train(docs: DataFrame, p: Unigrams = Unigrams()) -> dict:
             got: dict[str, Counter] = defaultdict(Counter)
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 got[lang].update(words_of(text))
-            rows = [(lang, w, c) for lang, words in got.items() for w, c in words.items() if len(w) <= 60]
+            rows = [(lang, w, c) for lang, words in got.items() for w, c in words.items()]
             yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "w", "c"])
 
     totals = sample.mapInArrow(count, "lang string, w string, c long").groupBy("lang", "w").agg(F.sum("c").alias("c"))
