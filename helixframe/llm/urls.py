@@ -5,8 +5,9 @@ words and rank-based probabilities come from a public vocabulary file. A multino
 Bayes model over the words of host and path learns from the urls that the rules decide, with
 the rules' verdicts as classes, and judges the rest.
 
-Token counts cover all decided urls; the model keeps the ``max_tokens`` most frequent tokens,
-so that its size has a bound. Numbers count by their length.
+Token counts cover all decided urls, and every token counts: words come from the vocabulary,
+and stretches that no word covers are taken letter by letter, numbers by their length (20 digits
+and more are alike), so the vocabulary and the alphabet bound the model.
 """
 
 from __future__ import annotations
@@ -38,7 +39,6 @@ _RUNS = re.compile(r"\d+|[^\W\d_]+")
 @dataclass(frozen=True)
 class Bayes:
     vocabulary: str | None = None  #: a word vocabulary of the tokenizers library (None: the public one)
-    max_tokens: int = 50_000
     smoothing: float = 0.5
     longest: int = 20
     unknown: float = -14.0  #: log probability of a letter outside all words
@@ -99,7 +99,7 @@ class Tokens:
 
     def _words(self, run: str) -> list[str]:
         if run.isdigit():
-            return [f"#{len(run)}"]
+            return [f"#{min(len(run), 20)}"]
         got = self.known.get(run)
         if got is None:
             if len(self.known) > 200_000:  # only a cache
@@ -114,7 +114,7 @@ class Tokens:
 
 
 def train(pages: DataFrame, rules=RULES, p: Bayes = Bayes()) -> dict:
-    """Log odds (block against allow) of the kept tokens, of an unseen token, and the prior."""
+    """Log odds (block against allow) of all tokens, of an unseen token, and the prior."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(p)
@@ -130,33 +130,33 @@ def train(pages: DataFrame, rules=RULES, p: Bayes = Bayes()) -> dict:
     counts = pages.select("url").mapInArrow(run, "verdict string, token string, n long").groupBy("token").agg(
         *[F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("block", "allow")]
     )
-    kept = counts.filter("token != ''").orderBy(F.desc(F.col("block") + F.col("allow")), "token").limit(p.max_tokens).collect()
-    urls = counts.filter("token = ''").first()
-    total = [sum(r[v] for r in kept) + p.smoothing * (len(kept) + 1) for v in ("block", "allow")]
-    odds = {r.token: math.log((r.block + p.smoothing) / total[0]) - math.log((r.allow + p.smoothing) / total[1]) for r in kept}
+    seen = {r.token: r for r in counts.collect()}  # words of the vocabulary, letters and lengths, for host and path
+    urls = seen.pop("", None)
+    total = [sum(r[v] for r in seen.values()) + p.smoothing * (len(seen) + 1) for v in ("block", "allow")]
+    odds = {t: math.log((r.block + p.smoothing) / total[0]) - math.log((r.allow + p.smoothing) / total[1]) for t, r in seen.items()}
     prior = math.log((urls.block + 0.5) / (urls.allow + 0.5)) if urls else -math.inf
-    return {"odds": odds, "prior": prior}
+    return {"odds": odds, "unseen": math.log(total[1] / total[0]), "prior": prior}
 
 
 def judge(pages: DataFrame, rules=RULES, p: Bayes = Bayes()) -> DataFrame:
     """page_id, host, path, rule, verdict and score (log odds of block by the model) of every row.
 
     A null url, or one without ``://``, has empty host and path, no rule, and the model's
-    prior verdict. Without a decided url to learn from, the model allows all. Tokens that the
-    model doesn't keep don't count. Rows that repeat are judged alike; an empty table gives an
+    prior verdict. Without a decided url to learn from, the model allows all. A token that no
+    decided url has takes the smoothed odds of an unseen one. Rows that repeat are judged alike; an empty table gives an
     empty result; columns beyond page_id and url are ignored.
     """
     pages = pages.select(F.col("page_id").cast("long"), "url")
     sent = pages.sparkSession.sparkContext.broadcast(train(pages, rules, p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, odds, prior = Tokens(p), sent.value["odds"], sent.value["prior"]
+        tokens, odds, unseen, prior = Tokens(p), sent.value["odds"], sent.value["unseen"], sent.value["prior"]
         for b in batches:
             rows = []
             for url in b.column("url").to_pylist():
                 host, path = split_url(url)
                 r = rule_of(host, path, rules)
-                score = prior + sum(odds.get(t, 0.0) for t in tokens(host, path))
+                score = prior + sum(odds.get(t, unseen) for t in tokens(host, path))
                 rows.append((host, path, r and r[0], r[1] if r else "block" if score > 0 else "allow", score))
             cols = [pa.array([x[k] for x in rows], pa.string()) for k in range(4)] + [pa.array([x[4] for x in rows], pa.float64())]
             yield pa.record_batch([b.column("page_id"), *cols], ["page_id", "host", "path", "rule", "verdict", "score"])
