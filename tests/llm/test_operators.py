@@ -387,18 +387,31 @@ def test_secrets(spark, awkward, none):
     assert secrets.secrets(awkward).count() == 13 and secrets.secrets(none).count() == 0
 
 
-def test_ledger_scans_only_what_is_new(spark):
-    docs = spark.createDataFrame([(1, "token=abcdefgh"), (2, "other")], "doc_id long, text string")
-    _, first = secrets.update(docs, secrets.empty_ledger(spark), ["assign@1"])
-    assert first.count() == 2
+def test_ledger_scans_only_what_is_new(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "token=abcdefgh"), (2, "other"), (2, "other")], "doc_id long, text string")
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    rows = lambda: sorted((bytes(r.blob), tuple(r.rules)) for r in ledger.rows().collect())
+    secrets.update(docs, ledger, ["assign@1"])
+    first, files = rows(), {f.name: f.stat().st_mtime_ns for f in (tmp_path / "ledger").iterdir()}
+    assert len(first) == 2
     more = docs.union(spark.createDataFrame([(3, "token=abcdefgh"), (4, "new")], "doc_id long, text string"))
-    paths, second = secrets.update(more, first, ["assign@1", "hex@1"])
-    added = {(r.blob, tuple(r.rules)) for r in second.collect()} - {(r.blob, tuple(r.rules)) for r in first.collect()}
-    blob = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    assert added == {(blob("token=abcdefgh"), ("hex@1",)), (blob("other"), ("hex@1",)), (blob("new"), ("assign@1", "hex@1"))}
-    assert secrets.update(more, second, ["assign@1", "hex@1"])[1].count() == second.count()
-    found = {r.doc_id: r.spans for r in secrets.findings(paths, second, ["assign@1", "hex@1"]).collect()}
-    assert found == {1: "assign:0:14", 2: "", 3: "assign:0:14", 4: ""}
+    paths = secrets.update(more, ledger, ["assign@1", "hex@1"])
+    blob = lambda t: hashlib.sha256(t.encode()).digest()
+    added = [(blob("token=abcdefgh"), ("hex@1",)), (blob("other"), ("hex@1",)), (blob("new"), ("assign@1", "hex@1"))]
+    second = rows()
+    assert second == sorted(first + added)
+    assert all((tmp_path / "ledger" / f).stat().st_mtime_ns == t for f, t in files.items() if f != "_SUCCESS" and not f.startswith("._SUCCESS"))  # history isn't written again
+    secrets.update(more, ledger, ["assign@1", "hex@1"])
+    assert rows() == second
+    found = sorted((r.doc_id, r.spans) for r in secrets.findings(paths, ledger, ["assign@1", "hex@1"]).collect())
+    assert found == [(1, "assign:0:14"), (2, ""), (2, ""), (3, "assign:0:14"), (4, "")]
+
+
+def test_findings_of_a_hot_blob(spark):
+    """One text is that of most paths: each path has its findings once."""
+    docs = spark.createDataFrame([(i, "token=abcdefgh" if i % 10 else f"x {i}") for i in range(2000)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.secrets(docs).collect()}
+    assert got == {i: "assign:0:14" if i % 10 else "" for i in range(2000)} and secrets.secrets(docs).count() == 2000
 
 
 # 10
@@ -529,3 +542,146 @@ def test_equal_hashes_do_no_harm(weak, monkeypatch):
     brute = list(brute_contamination(docs, items))
     assert [int(hit[p:q].sum()) for p, q in zip(at[:-1], at[1:])] == [x[2] for x in brute]
     assert np.bincount(pairs >> 32, minlength=len(docs)).tolist() == [x[3] for x in brute]
+
+
+# no cuts
+
+
+def slow_expect(word, p, longest):
+    """All segmentations one by one."""
+    w, out, total = langid.MARK + word, {}, 0.0
+
+    def go(at, used, q):
+        nonlocal total
+        if at == len(w):
+            total += q
+            for s in used:
+                out[s] = out.get(s, 0.0) + q
+            return
+        for j in range(at + (2 if at == 0 else 1), min(len(w), at + longest) + 1):
+            x = p.get(w[at:j], langid._TINY if j - at == 1 + (at == 0) else 0.0)
+            if x:
+                go(j, [*used, w[at:j]], q * x)
+
+    go(0, [], 1.0)
+    return {k: v / total for k, v in out.items()}
+
+
+def test_langid_expects_what_all_segmentations_say():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        p = {("▁" if rng.random() < 0.4 else "") + "".join(rng.choice(list("abc"), rng.integers(1, 4))): float(rng.random()) for _ in range(12)}
+        word = "".join(rng.choice(list("abcd"), rng.integers(1, 9)))
+        assert langid.expect(word, p, 4) == pytest.approx(slow_expect(word, p, 4), rel=1e-9, abs=1e-12), word
+    long = langid.expect("ab" * 3000, {"▁a": 0.1, "a": 0.1, "b": 0.2, "ab": 1e-5, "▁ab": 1e-5}, 3)
+    assert sum(long.values()) == pytest.approx(6000 - long["ab"] - long["▁ab"], rel=1e-6)
+
+
+def test_langid_learns_words_of_any_length(spark):
+    x, y = "abcde" * 40, "vwxyz" * 40
+    docs = spark.createDataFrame([(i, x if i % 2 else y, "x" if i % 2 else "y") for i in range(80)], "doc_id long, text string, lang string")
+    got = langid.langid(docs).collect()
+    assert all(r.lang_pred == ("x" if r.doc_id % 2 else "y") for r in got)
+
+
+def brute_urls(pages, p):
+    tokens, seen = urls.Tokens(p), {"block": {}, "allow": {}}
+    count = {"block": 0, "allow": 0}
+    for _, u in pages:
+        host, path = urls.split_url(u)
+        if r := urls.rule_of(host, path):
+            count[r[1]] += 1
+            for t in tokens(host, path):
+                seen[r[1]][t] = seen[r[1]].get(t, 0) + 1
+    every = set(seen["block"]) | set(seen["allow"])
+    total = {v: sum(seen[v].values()) + p.smoothing * (len(every) + 1) for v in seen}
+    for i, u in pages:
+        host, path = urls.split_url(u)
+        r = urls.rule_of(host, path)
+        odds = np.log((count["block"] + 0.5) / (count["allow"] + 0.5))
+        for t in tokens(host, path):
+            odds += np.log((seen["block"].get(t, 0) + p.smoothing) / total["block"]) - np.log((seen["allow"].get(t, 0) + p.smoothing) / total["allow"])
+        yield i, host, path, r and r[0], r[1] if r else "block" if odds > 0 else "allow", round(float(odds), 6)
+
+
+def test_urls_against_plain_bayes(spark):
+    """Every token counts, seen or not; null, empty and very long urls are judged."""
+    rng = np.random.default_rng(3)
+    words_ = ["casino", "school", "river", "bank", "green", "book", "x9", "2024"]
+    pages = []
+    for i in range(200):
+        host = "".join(rng.choice(words_, rng.integers(1, 4))) + str(rng.choice([".com", ".net", ".org", ".info", ".example.com"]))
+        pages.append((i, f"http://{host}/{rng.choice(['en', 'de', 'es', 'fr'])}/{'/'.join(rng.choice(words_, 3))}"))
+    pages += [(900, None), (901, ""), (902, "no scheme"), (903, "http://" + "riverbank" * 3000 + ".info/" + "9" * 5000 + "/" + "qz" * 4000), (0, pages[0][1])]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict, round(r.score, 6)) for r in urls.judge(df).collect())
+    want = sorted(brute_urls(pages, urls.Bayes()))
+    assert [x[:5] for x in got] == [x[:5] for x in want] and [x[5] for x in got] == pytest.approx([x[5] for x in want], abs=1e-4)
+
+
+def test_key_blocks_of_any_length(spark):
+    body = "\n".join(["Ab+/" * 16] * 400)
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nDEK-Info: AES-128-CBC,00\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    texts = [f"x {key} y", "-----BEGIN PRIVATE KEY----- cut off", f"-----BEGIN PRIVATE KEY-----\n{key}", "-----END PRIVATE KEY-----"]
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("pem")] for r in secrets.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: [f"pem:2:{2 + len(key)}"], 1: ["pem:0:27"], 2: ["pem:0:27", f"pem:28:{28 + len(key)}"], 3: []}
+
+
+def slow_ftrl(rows, p):
+    """FTRL-proximal one coordinate at a time, after the published algorithm; the last coordinate is the intercept, without L1."""
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = 0.0 if i == 1 << p.bits else p.l1
+        zi = z.get(i, 0.0)
+        if abs(zi) <= l1:
+            return 0.0
+        return -(zi - (1 if zi > 0 else -1) * l1) / ((p.beta + n.get(i, 0.0) ** 0.5) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for y, idx in rows:
+            idx = [*idx, 1 << p.bits]
+            w = {i: weight(i) for i in idx}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in idx:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / p.alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return [weight(i) for i in range((1 << p.bits) + 1)]
+
+
+def test_ftrl_against_plain_loops():
+    rng = np.random.default_rng(8)
+    p = toxicity.Ftrl(bits=5, l1=0.4, l2=0.1)
+    rows = [(int(rng.integers(2)), np.unique(rng.integers(0, 32, 6))) for _ in range(60)]
+    w, b = toxicity.fit_ftrl(rows, p)
+    assert [*w, b] == pytest.approx(slow_ftrl([(y, i.tolist()) for y, i in rows], p))
+
+
+def test_bradley_terry_is_at_the_optimum():
+    """The gradient of the penalised pair loss vanishes, and the cut is the quantile of the training scores."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, quality.N_FEATURES))
+    y = (x[:, 0] + rng.normal(size=60) > 0).astype(int)
+    p = quality.BradleyTerry(max_pairs=400)
+    m = quality.fit(x, y, p)
+    z = np.clip((x - m["mean"]) / m["std"], -8, 8)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    k = np.arange(min(400, max(len(good), len(bad), 8 * max(len(good), len(bad)))))
+    d = z[good[k % len(good)]] - z[bad[(k * 7919 + k // len(good)) % len(bad)]]
+    loss = lambda w: np.log1p(np.exp(-(d @ w))).sum() + p.ridge * len(d) * (w @ w) / 2
+    for i in range(0, len(m["w"]), 5):
+        step = np.zeros(len(m["w"]))
+        step[i] = 1e-4
+        assert abs(loss(m["w"] + step) - loss(m["w"] - step)) / 2e-4 < 0.05
+    assert m["cut"] == pytest.approx(np.quantile(z @ m["w"], (y == 0).mean()))
+
+
+def test_labelled_ids_that_repeat(spark):
+    """Copies of a labelled id are one row to learn from, whatever their number."""
+    docs, marks = corpus(spark, with_insult, 90)
+    many = docs.unionByName(docs.filter("doc_id = 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("n"))
+    lab = labels(spark, [(i, int(not m), int(m)) for i, m in enumerate(marks)])
+    for op in (toxicity.toxicity, quality.quality):
+        one = {r.doc_id: r.score for r in op(docs, lab).collect()}
+        assert {r.doc_id: r.score for r in op(many, lab).collect()} == pytest.approx(one)
