@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -17,13 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only a session without that setting (tests on one machine) gets a folder of its own.
+    Only a local session without that setting (as in tests) gets a folder of its own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isDefined():
             return kept.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="helixframe-")
         spark.sparkContext.setCheckpointDir(path)
         return path
@@ -50,6 +52,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sums_before(df: DataFrame, value: str, group: str, place: str, cell: int = 4096) -> DataFrame:
+    """df with ``before``: the sum of value over the group's smaller places.
+
+    Sums of cells of places come first, then places within a cell, so no window holds more
+    than a cell or a group's cells.
+    """
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("cell", F.floor(F.col(place) / cell))
+    cells = df.groupBy(group, "cell").agg(F.sum(value).alias("in_cell"))
+    cells = cells.withColumn("base", F.coalesce(F.sum("in_cell").over(earlier.partitionBy(group).orderBy("cell")), F.lit(0))).drop("in_cell")
+    inner = F.coalesce(F.sum(value).over(earlier.partitionBy(group, "cell").orderBy(place)), F.lit(0))
+    return df.withColumn("inner", inner).join(cells, [group, "cell"]).withColumn("before", F.col("base") + F.col("inner")).drop("base", "inner", "cell")
+
+
 def id_mod(col: str, m: int) -> Column:
     """crc32 of the id's decimal text, modulo m (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % m

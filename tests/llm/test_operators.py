@@ -685,3 +685,106 @@ def test_labelled_ids_that_repeat(spark):
     for op in (toxicity.toxicity, quality.quality):
         one = {r.doc_id: r.score for r in op(docs, lab).collect()}
         assert {r.doc_id: r.score for r in op(many, lab).collect()} == pytest.approx(one)
+
+
+# 4 as a whole
+
+
+def plain_mix(rows, hashes, p):
+    """taken of every row: packing, drawing and permuting in plain loops, with the hash function given.
+
+    rows: (doc_id, source, size, like). hashes(*values): signed 64-bit.
+    """
+    names = sorted({r[1] for r in rows}, key=lambda x: (x is None, x))
+    size = {x: sum(r[2] for r in rows if r[1] == x) for x in names}
+    weight = {x: p.weights[i % len(p.weights)] for i, x in enumerate(names)}
+    left, free, target = p.ratio * sum(size.values()), set(names), {}
+    while free:
+        share = {x: left * weight[x] / sum(weight[y] for y in free) for x in free}
+        over = {x for x in free if share[x] > p.most * size[x]}
+        if not over:
+            target |= share
+            break
+        target |= {x: float(p.most * size[x]) for x in over}
+        left, free = p.ratio * sum(size.values()) - sum(target.values()), free - over
+    buckets = len(rows) // p.bucket_rows + 1
+    blocks = {x: -(-size[x] // p.block) for x in names}
+    slots = {x: round(target[x] / size[x] * blocks[x]) if size[x] else 0 for x in names}
+    total, have, got = sum(slots.values()), dict.fromkeys(names, 0), {x: {} for x in names}
+    for i in range(total):
+        u = hashes(p.seed, i) % max(total, 1)
+        for x in names:
+            if u < slots[x]:
+                have[x] += 1
+                break
+            u -= slots[x]
+    for s, x in enumerate(names):
+        for k in range(slots[x]):  # short or not, a source's slots are all filled in the end
+            at, turn = k % blocks[x], k // blocks[x]
+            for r in range(p.rounds):
+                y = (hashes(p.seed, s, turn, r) % blocks[x] - at) % blocks[x]
+                if hashes(p.seed, s, turn, r, max(at, y)) & 1:
+                    at = y
+            got[x][at] = got[x].get(at, 0) + 1
+    out = []
+    for x in names:
+        start = 0
+        for d, _, n, like in sorted((r for r in rows if r[1] == x), key=lambda r: (hashes(r[0], r[3], p.seed) % buckets, r[0] is not None, r[0], r[3])):
+            out.append((d, n, size[x], sum(got[x].get(w // p.block, 0) for w in range(start, start + n))))
+            start += n
+    return out, target, names
+
+
+def test_mixing_against_plain_loops(spark):
+    """The whole mix, for rows with repeated and null ids in three layouts."""
+    rng = np.random.default_rng(13)
+    rows = [(None if i % 50 == 7 else i // 3, "w " * int(rng.integers(0, 120)), ["a", "a", "b", None, "c"][int(rng.integers(5))]) for i in range(240)]
+    rows += [rows[5], rows[5]]
+    p = mixing.Mix(block=8, shard=64, bucket_rows=40)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = lambda r: tuple((x is not None, x if x is not None else 0) for x in r)
+    layouts = [df, df.orderBy(F.rand(3)).repartition(7), df.coalesce(1).orderBy(F.desc("text"))]
+    got = [sorted(((r.doc_id, r.size, r.source_size, r.taken) for r in mixing.mix(x, p).collect()), key=key) for x in layouts]
+    assert got[0] == got[1] == got[2]
+    sized = mixing.sized(df.select("doc_id", "source", "text"), "doc_id", "source").collect()
+    asked, known = [], {}
+
+    def hashes(*values):
+        if values not in known:
+            asked.append(values)
+            return 0
+        return known[values]
+
+    flat = [(r.doc_id, r.source, r.size, r.like) for r in sized]
+    for _ in range(p.rounds + 2):  # Spark's own hashes, asked for in rounds: later ones depend on earlier ones
+        want, target, names = plain_mix(flat, hashes, p)
+        if not asked:
+            break
+        todo, asked[:] = list(dict.fromkeys(asked)), []
+        kinds = {}
+        for v in todo:
+            kinds.setdefault(len(v), []).append(v)
+        for n, vs in kinds.items():
+            # the types that the operator hashes: seed, s and round int, the rest long
+            types = {2: "int,long", 3: "long,long,int", 4: "int,int,long,int", 5: "int,int,long,int,long"}[n].split(",")
+            t = spark.createDataFrame([(*v,) for v in vs], ",".join(f"c{i} {x}" for i, x in enumerate(types)))
+            for v, r in zip(vs, t.select(F.xxhash64(*t.columns).alias("h")).collect(), strict=True):
+                known[v] = r.h
+    assert got[0] == sorted(want, key=key)
+    out = mixing.shards(df, p).collect()
+    per = {x: sum(len(r.text.split()) for r in out if r.source == x) for x in names}
+    assert all(abs(per[x] - target[x]) <= p.block for x in names)
+    by_shard = {}
+    for r in out:
+        by_shard.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by_shard.values()) and len(by_shard) > 3
+    assert mixing.shards(df.limit(0), p).count() == 0
+
+
+def test_mixed_marks_gaps(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"{i}w{k}" for k in range(100)), "en", f"s{i % 2}", 1) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    for r in mixing.mixed(docs, mixing.Mix(block=8)).collect():
+        w = r.text.split()
+        k = [int(x.split("w")[1]) for x in w]
+        assert r.n_chars == len(r.text) and k == sorted(set(k))
+        assert [x.split()[0] for x in r.text.split("\n")[1:]] == [w[i] for i in range(1, len(k)) if k[i] != k[i - 1] + 1]
