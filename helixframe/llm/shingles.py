@@ -1,17 +1,18 @@
-"""Pairs of texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8, all of them.
-
-Shingles are hashes of five words in a row (of all words, if there are fewer). With the
-shingles of each set in one order that holds for all sets, two sets that are similar enough
-share one among the first fifth of the larger and the first ninth of the smaller, so only
-these become join keys. Sizes and places of a shared shingle rule out pairs, and so do
-parities: 512 bits tell for the shingles of each of 512 hash classes whether their number is
-odd, and each bit that differs needs a shingle that only one of the sets has, of which two
-sets that are similar enough have a ninth of the sum of their sizes at most. Pairs that are
-left are compared by their whole sets. Any order finds all pairs: shingles that a sample
-shows to be common come last, as they would bring strangers together.
-
-Big groups of near copies are linked through one set of each key first; keys all of whose
-sets are then in one component need no more pairs.
+"""Pairs of texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+
+SimHash fingerprints of the sets (``simhash``) find near copies that differ in few places. A
+similarity of 0.8 leaves about ten of 64 bits different, beyond any deletion variants, so the
+rest is found by shingles: with the shingles of each set in one order that holds for all
+sets, two sets that are similar enough share one among the first fifth of the larger and the
+first ninth of the smaller, and these become join keys. Sizes and places of a shared shingle
+rule out pairs, and so do parities: 512 bits tell for the shingles of each of 512 hash classes
+whether their number is odd, and each bit that differs needs a shingle that only one of the
+sets has, of which two sets that are similar enough have a ninth of the sum of their sizes at
+most. Pairs that are left are compared by their whole sets. Any order finds all pairs:
+shingles that a sample shows to be common come last, as they would bring strangers together.
+
+Links to a few hubs come first, so that big groups of near copies never give all pairs
+(``linking``). A set goes by a 64-bit mark, a shingle by 50 bits of its hash.
 """
 
 from __future__ import annotations
@@ -20,198 +21,265 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import simhash
 from . import words as W
-from .common import cut, new_path, stored
-from .simhash import components
+from .common import cut, stored
+from .linking import components, cross_pairs, labelled, labels
 
 K = 5
-SAMPLE = 1 << 22  #: shingles in the sample for the order, or a sixteenth of all
+SAMPLE = 8192  #: documents in the sample for the order, or a thirty-second of all
 BYTES = 1 << 20  #: of text at once
 PARITIES = 8  #: longs of 64 parities each
 COMMON = 1 << 17  #: common shingles sent to the executors; the order of the rest is by hash
+ROUNDS = 5  #: rounds of links to hubs, at most
+SMALL = 1 << 20  #: rows of two numbers that may be sent to the executors
+
+_TAGS = np.uint64(14)  #: bits for a text's number in a batch
+_FACTORS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+
+
+def _batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of bounded bytes and rows, as sets() takes them."""
+    for b in W.pieces(batches, column, BYTES):
+        for k in range(0, b.num_rows, 1 << 13):
+            yield b.slice(k, 1 << 13)
 
 
 def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles (uint64) of each text, ascending and end to end, and their offsets."""
+    """The distinct shingles (uint64, of 50 bits) of each of 2**14 texts at most, ascending and end to end, and their offsets.
+
+    A text of fewer words has one shingle, of all its words.
+    """
     flat, offs = W.flat_bytes(column)
     flat = W.LOWER[flat]
     s, e, at = W.spans(flat, offs, W.NOT_SPACE)
-    h = W.hashes(flat, s, e)
-    n = np.diff(at)
-    count = np.where(n > 0, np.maximum(1, n - K + 1), 0)
-    doc = np.repeat(np.arange(len(n)), count)
-    first = np.repeat(at[:-1], count) + W.runs(count)
-    end = np.repeat(at[1:], count)
-    out = np.zeros(len(first), np.uint64)
+    h, n = W.hashes(flat, s, e), np.diff(at)
+    doc = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+    left = np.repeat(at[1:], n) - np.arange(len(h))  # words from here to the text's end
     with np.errstate(over="ignore"):
-        for k in range(K):
-            some = first + k < end
-            out[some] = W.mix(out[some] + h[first[some] + k] + np.uint64(k + 1))
-    order = np.lexsort((out, doc))
-    out, doc = out[order], doc[order]
-    new = np.ones(len(out), bool)
-    new[1:] = (out[1:] != out[:-1]) | (doc[1:] != doc[:-1])
-    return out[new], np.searchsorted(doc[new], np.arange(len(n) + 1))
-
-
-def _parities(h: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+        sums = h * _FACTORS[0]
+        for k in range(1, K):
+            sums[:-k] += h[k:] * _FACTORS[k]
+        for d in np.flatnonzero((n > 0) & (n < K)):
+            sums[at[d]] = (h[at[d] : at[d + 1]] * _FACTORS[: n[d]]).sum() + np.uint64(n[d])
+            left[at[d]] = K
+    whole = left >= K
+    key = np.sort(doc[whole] << (np.uint64(64) - _TAGS) | W.mix(sums[whole]) >> _TAGS)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    return key & ((np.uint64(1) << (np.uint64(64) - _TAGS)) - np.uint64(1)), np.searchsorted(key, np.arange(len(n) + 1, dtype=np.uint64) << (np.uint64(64) - _TAGS))
+
+
+def parities(h: np.ndarray, at: np.ndarray) -> list[pa.Array]:
     n = len(at) - 1
     spot = np.repeat(np.arange(n), np.diff(at)) * (64 * PARITIES) + (h & np.uint64(64 * PARITIES - 1)).astype(np.int64)
     odd = (np.bincount(spot, minlength=n * 64 * PARITIES) & 1).astype(np.uint8).reshape(n, 64 * PARITIES)
     return [pa.array(c) for c in np.packbits(odd, axis=1).view(np.int64).T.copy()]
 
 
-def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    c = np.zeros(len(x) + 1, x.dtype)
-    np.cumsum(x, out=c[1:])
-    return c[at[1:]] - c[at[:-1]]
+def prints(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The SimHash fingerprint of each set: the bits that more than half of its shingles' hashes have."""
+    n = np.diff(at)
+    doc = np.repeat(np.arange(len(n)), n)
+    votes = np.zeros((len(n), 64), np.int64)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(h), simhash.PIECE):
+            part = doc[i : i + simhash.PIECE]
+            bits = np.unpackbits(W.mix(h[i : i + simhash.PIECE] + np.uint64(1)).view(np.uint8).reshape(-1, 8), axis=1)
+            heads = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
+            votes[part[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int32)
+    return np.packbits(2 * votes > n[:, None], axis=1).view(np.int64).ravel()
 
 
-def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches with a hash of each text's set (_set), its size (_n) and its parities (_p0 ..)."""
-    for b in W.pieces(batches, max_bytes=BYTES):
-        h, at = sets(b.column("text"))
-        n = np.diff(at)
-        with np.errstate(over="ignore"):
-            mark = W.mix(_sums(W.mix(h + np.uint64(1)), at) + n.astype(np.uint64))
-        yield pa.record_batch([*b.columns, pa.array(mark.view(np.int64)), pa.array(n.astype(np.int32)), *_parities(h, at)], [*b.schema.names, "_set", "_n", *(f"_p{i}" for i in range(PARITIES))])
+def marks(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each set."""
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(h + np.uint64(1)))])
+        return W.mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
+
+
+def firsts(h: np.ndarray, at: np.ndarray, common: np.ndarray, rank: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of each set, in order, and their offsets: common ones last by rank, the rest by hash.
+
+    common: sorted; seen: a bitmap of the top 20 bits of common.
+    """
+    n = np.diff(at)
+    doc = np.repeat(np.arange(len(n)), n)
+    late = np.zeros(len(h), bool)
+    spot = np.flatnonzero(seen[(h >> np.uint64(30)).astype(np.int64)])
+    k = np.minimum(np.searchsorted(common, h[spot]), max(0, len(common) - 1))
+    if len(common):
+        late[spot] = common[k] == h[spot]
+    m = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
+    early = np.bincount(doc[~late], minlength=len(n))  # of each set
+    order = np.empty(len(h), np.int64)
+    place = np.cumsum(~late) - 1 - np.repeat(np.cumsum(early) - early, n)  # among the set's own early shingles
+    order[(np.repeat(at[:-1], n) + place)[~late]] = np.flatnonzero(~late)
+    last = np.flatnonzero(late)
+    if len(last):
+        at_rank = rank[np.searchsorted(common, h[last])]
+        last = last[np.lexsort((at_rank, doc[last]))]
+        order[at[:-1][doc[last]] + early[doc[last]] + W.runs(np.bincount(doc[last], minlength=len(n)))] = last
+    return h[order[np.repeat(at[:-1], m) + W.runs(m)]], np.concatenate([[0], np.cumsum(m)])
 
 
 def _common(docs: DataFrame) -> np.ndarray:
     """Shingles that are common in a sample of docs, the commonest last."""
-    total = docs.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
-    share = min(1.0, max(1 / 16, SAMPLE / max(1, total)))
+    share = max(1 / 32, min(1.0, SAMPLE / max(1, docs.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in W.pieces(batches, max_bytes=BYTES):
+        for b in _batches(batches):
             yield pa.record_batch([pa.array(sets(b.column("text"))[0].view(np.int64))], ["h"])
 
-    some = docs.filter(F.pmod(F.xxhash64("set"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
     counts = some.mapInArrow(run, "h long").groupBy("h").count().filter("count > 2")
     found = counts.orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
     return found.column("h").to_numpy().view(np.uint64)[::-1].copy()
 
 
-def _prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(key, set, n, pos, short) of the first shingles of each set; short: they count for the smaller set of a pair, too."""
+def _identity() -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("order")]
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, order (a hash of the text), node (the set's mark), n (its size), p0.. (parities), fp and keys of every row, stored.
+
+    keys: a set's first shingles, for one of its rows in each task; null for the others.
+    """
+    common = _common(docs)
     by_hash = np.argsort(common)
     sent = docs.sparkSession.sparkContext.broadcast((common[by_hash], by_hash + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = sent.value
-        for b in W.pieces(batches, max_bytes=BYTES):
+        seen = np.zeros(1 << 20, bool)
+        seen[(known >> np.uint64(30)).astype(np.int64)] = True
+        done = np.zeros(0, np.int64)  # this task's sets
+        for b in _batches(batches):
             h, at = sets(b.column("text"))
-            n = np.diff(at)
-            late = np.zeros(len(h), np.int64)
-            if len(known):
-                k = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                late = np.where(known[k] == h, rank[k], 0)
-            doc = np.repeat(np.arange(len(n)), n)
-            h = h[np.lexsort((late, doc))]
-            m = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
-            pos, doc = W.runs(m), np.repeat(np.arange(len(n)), m)
-            key = h[at[:-1][doc] + pos]
-            size = n[doc]
-            short = pos <= size - (8 * size + 8) // 9
-            name = b.column("set").to_numpy(zero_copy_only=False)[doc]
-            cols = [pa.array(key.view(np.int64)), pa.array(name), pa.array(size.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(short)]
-            yield pa.record_batch(cols, ["key", "set", "n", "pos", "short"])
-
-    return docs.select("set", "text").mapInArrow(run, "key long, `set` long, n int, pos int, short boolean")
-
-
-#: a, the smaller set, and b can be similar enough if this is the first shingle they share.
-_CAN = "a != b and 9L * least(na - pa, nb - pb) >= 4L * (na + nb)"
-_ODD = " + ".join(f"bit_count(sa.p{i} ^ sb.p{i})" for i in range(PARITIES))
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in W.pieces(W.pieces(batches, "ta", BYTES), "tb", BYTES):
-            (x, xa), (y, ya) = sets(b.column("ta")), sets(b.column("tb"))
-            nx, ny = np.diff(xa), np.diff(ya)
-            row = np.concatenate([np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)])
-            h = np.concatenate([x, y])
-            order = np.lexsort((h, row))
-            h, row = h[order], row[order]
-            both = np.bincount(row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])], minlength=len(nx))
-            yield b.select(["a", "b"]).filter(pa.array(9 * both >= 4 * (nx + ny)))
-
-    left = texts.select(F.col("set").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("set").alias("b"), F.col("text").alias("tb"))
-    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
-
-
-def _best(rows: DataFrame, texts: DataFrame, *by: str) -> DataFrame:
-    """For each of ``by`` the pair (a, b) of a set that heads keys and another set of most of them, if parities allow it."""
-    can = rows.filter("head is not null").select(
-        F.col("head.set").alias("a"), F.col("head.n").alias("na"), F.col("head.pos").alias("pa"), F.col("head.root").alias("ra"),
-        F.col("set").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"),
-    ).filter(f"{_CAN} and ra != rb")
-    best = can.groupBy("ra", "rb", "a", "b", "na", "nb").count().groupBy(*by).agg(F.max_by(F.struct("a", "b", "na", "nb"), F.struct("count", "a", "b")).alias("r"))
-    pairs = best.select("r.*").distinct()
-    pairs = pairs.join(texts.select(F.col("set").alias("a"), F.col("p").alias("sa")), "a").join(texts.select(F.col("set").alias("b"), F.col("p").alias("sb")), "b")
-    return pairs.filter(f"9L * ({_ODD}) <= na + nb").select("a", "b")
-
-
-def near(docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that connect all that are similar enough, each pair similar enough itself.
-
-    docs: one row (set, n, text, p) for each distinct set. Pairs of sets that others of these
-    pairs connect may be missing.
+            node = marks(h, at)
+            keys, ends = firsts(h, at, known, rank, seen)
+            fresh = np.zeros(len(node), bool)
+            fresh[np.unique(node, return_index=True)[1]] = True
+            fresh &= ~np.isin(node, done)
+            done = np.concatenate([done, node[fresh]])
+            size = np.diff(ends) * fresh
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(keys[np.repeat(fresh, np.diff(ends))].view(np.int64)), mask=pa.array(~fresh))
+            cols = [b.column("doc_id"), b.column("order"), pa.array(node), pa.array(np.diff(at).astype(np.int32)), *parities(h, at), pa.array(prints(h, at)), lists]
+            yield pa.record_batch(cols, ["doc_id", "order", "node", "n", *(f"p{i}" for i in range(PARITIES)), "fp", "keys"])
+
+    schema = "doc_id long, order long, node long, n int, " + "".join(f"p{i} long, " for i in range(PARITIES)) + "fp long, keys array<long>"
+    return stored(docs.select(*_identity(), "text").mapInArrow(run, schema), "marked")
+
+
+class Texts:
+    """Whole sets of nodes, read from docs when pairs are to be compared."""
+
+    def __init__(self, docs: DataFrame, rows: DataFrame):
+        self.docs = docs.select(*_identity(), "text")
+        # of each set one row, and its size and parities
+        self.one = stored(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "order")).alias("r"), F.min("n").alias("n"), *[F.min(f"p{i}").alias(f"p{i}") for i in range(PARITIES)]), "sets")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose whole sets are similar enough."""
+        far = " + ".join(f"bit_count(a_p{i} ^ b_p{i})" for i in range(PARITIES))
+        side = lambda x: self.one.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(f"p{i}").alias(f"{x}_p{i}") for i in range(PARITIES)])
+        pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(f"9L * ({far}) <= a_n + b_n").select("a", "b"))
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = cut(self.one.join(nodes, "node").select("node", "r.doc_id", "r.order"))
+        small = wanted.count() <= SMALL
+        met = self.docs.join(F.broadcast(wanted.withColumnRenamed("doc_id", "d")) if small else wanted.withColumnRenamed("doc_id", "d").hint("merge"), ["order"]).filter("doc_id <=> d")
+        text = stored(met.groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in _batches(_batches(batches, "ta"), "tb"):
+                (x, xa), (y, ya) = sets(b.column("ta")), sets(b.column("tb"))
+                nx, ny = np.diff(xa), np.diff(ya)
+                row = np.concatenate([np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)]).astype(np.uint64)
+                key = np.sort(row << (np.uint64(64) - _TAGS) | np.concatenate([x, y]))
+                twice = key[1:][key[1:] == key[:-1]]
+                both = np.bincount((twice >> (np.uint64(64) - _TAGS)).astype(np.int64), minlength=len(nx))
+                yield b.select(["a", "b"]).filter(pa.array(9 * both >= 4 * (nx + ny)))
+
+        left, right = (text.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+        return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+
+
+#: two sets can be similar enough if this is the first shingle they share
+_CAN = "9L * least(a_n - a_pos, b_n - b_pos) >= 4L * (a_n + b_n)"
+
+
+def _to_hubs(rows: DataFrame, salt: int) -> DataFrame:
+    """For each node the pair (a, b) with the hub of another label that shares most keys with it; a key's hub is its least node by a salted hash."""
+    hub = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "n", "pos", "root")).alias("hub"))
+    met = rows.join(hub, "key").select(
+        F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("hub.node").alias("b"), F.col("hub.n").alias("b_n"), F.col("hub.pos").alias("b_pos"),
+        "root", F.col("hub.root").alias("b_root"),
+    ).filter(f"root != b_root and {_CAN}")
+    best = met.groupBy("a", "b").count().groupBy("a").agg(F.max(F.struct("count", "b")).alias("r"))
+    return best.select(F.least("a", "r.b").alias("a"), F.greatest("a", "r.b").alias("b")).distinct()
+
+
+def near(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all that are similar enough, each pair similar enough itself.
+
+    rows: as marked() gives them. Pairs that others of these pairs connect may be missing.
     """
-    spark = docs.sparkSession
-    path = new_path(spark, "shingles")  # what is written here goes at the end
-
-    def put(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{path}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
-
+    texts = Texts(docs, rows)
+    fp = cut(rows.groupBy("node").agg(F.min("fp").alias("fp")))
+    head = fp.groupBy("fp").agg(F.min("node").alias("b"))
+    alike = simhash.edges(head.select(F.col("fp").alias("node")))
+    to_node = lambda x, y: head.select(F.col("fp").alias(x), F.col("b").alias(y))
+    first = alike.join(to_node("a", "x"), "a").join(to_node("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    links = texts.verified(first.union(fp.join(head, "fp").filter("node != b").select(F.col("node").alias("a"), "b")))
+    known = None if links.isEmpty() else labels(links)
     by_key = Window.partitionBy("key")
-    head = F.min(F.when(F.col("short"), F.struct("n", "set", "pos", "root"))).over(by_key)
-    met = _prefixes(docs, _common(docs)).withColumn("root", F.col("set"))
-    rows = put(met.withColumn("sets", F.count("*").over(by_key)).withColumn("head", head).filter("sets > 1").drop("sets"), "rows")
-    texts = put(docs.select("set", "text", "p").join(rows.select("set").distinct(), "set", "left_semi"), "texts")
-    links = None
-    for k, by in enumerate((("b",), ("ra", "rb"))):
-        new = _verified(_best(rows, texts, *by), texts)
-        links = new if links is None else links.union(new)
-        roots = components(links)
-        rows = rows.drop("root", "head").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-        rows = rows.withColumn("lo", F.min("root").over(by_key)).withColumn("hi", F.max("root").over(by_key)).withColumn("head", head)
-        rows = put(rows.filter("lo != hi").drop("lo", "hi"), f"rows{k}")
-    rows = rows.drop("head").join(texts.select("set", "p"), "set")
-    a = rows.filter("short").select("key", F.col("set").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"), F.col("p").alias("sa"))
-    b = rows.select(F.col("key").alias("key_b"), F.col("set").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"), F.col("p").alias("sb"))
-    more = a.join(b, F.expr(f"key = key_b and ra != rb and (na < nb or na = nb and a < b) and {_CAN} and 9L * ({_ODD}) <= na + nb")).select("a", "b").distinct()
-    links = links.union(_verified(more, texts))
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    return links
+    each = rows.filter("keys is not null").select("node", "n", F.posexplode("keys").alias("pos", "key"))
+    each = each.withColumn("lo", F.min("node").over(by_key)).withColumn("hi", F.max("node").over(by_key)).filter("lo != hi").select("key", "node", "n", "pos").distinct()
+    each, most = stored(each, "keys"), None
+    for k in range(ROUNDS):
+        apart = labelled(each, known)
+        new = texts.verified(_to_hubs(apart, k))
+        found = new.count()
+        if found:
+            links = links.union(new)
+            known = labels(links)
+            each = labelled(each, known).withColumn("lo", F.min("root").over(by_key)).withColumn("hi", F.max("root").over(by_key)).filter("lo != hi").select("key", "node", "n", "pos")
+            each = stored(each, "keys")
+        most = found if most is None else most
+        if found * 100 <= most:
+            break
+    return links.union(texts.verified(cross_pairs(labelled(each, known), ["key"], _CAN)))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of documents with one document of each group of near copies: that with the least doc_id.
 
     Near copies share at least four fifths of their distinct shingles of five words,
-    directly or through others. Of rows that share that doc_id, the one whose text is least
-    by a hash stays; rows without a doc_id all stay.
+    directly or through others; a text of fewer words has one shingle, and texts without
+    words (null ones too) are copies of each other. Rows without a doc_id come after all
+    others; of rows that share the doc_id, the one whose text is least by a hash stays, of
+    equal rows one. An empty table gives an empty result; extra columns stay.
     """
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
+    rows = marked(docs)
+    roots = components(near(docs, rows))
+    order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "order")
+    each = cut(rows.groupBy("node", "doc_id", "order").agg(F.count("*").alias("copies")))
+    top = each.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = top.groupBy("root").agg(F.min(F.struct(order.alias("o"), "copies")).alias("r")).select("r.o.doc_id", "r.o.order", "r.copies")
+    kept = cut(kept)
+    single = kept.filter("copies = 1").select(F.col("doc_id").alias("k"), F.col("order").alias("o"))
+    gone = each.join(single, (F.col("doc_id").eqNullSafe(F.col("k"))) & (F.col("order") == F.col("o")), "left_anti").select(F.col("doc_id").alias("k"), F.col("order").alias("o"))
+    gone = cut(gone)
+    small = gone.count() <= SMALL
+    is_it = lambda df: F.xxhash64(df["text"]) == F.col("o")
+    same = lambda df: is_it(df) & df["doc_id"].cast("long").eqNullSafe(F.col("k"))
+    out = docs.join(F.broadcast(gone) if small else gone.hint("merge"), same(docs), "left_anti")
+    # rows that repeat: one of each
+    many = kept.filter("copies > 1").select(F.col("doc_id").alias("k"), F.col("order").alias("o"))
     cols = docs.columns
-    known = docs.filter("doc_id is not null")
-    least = F.min_by(F.struct(*cols), F.struct("doc_id", F.xxhash64("text"), F.xxhash64(*cols)))
-    rows = known.mapInArrow(marked, ", ".join(f"`{c}` {t}" for c, t in fields.items()) + ", _set long, _n int" + "".join(f", _p{i} long" for i in range(PARITIES)))
-    parities = [f"_p{i}" for i in range(PARITIES)]
-    sets = stored(rows.groupBy("_set", "_n", *parities).agg(least.alias("r")).select("_set", "_n", *parities, "r.*"), "dedup")
-    ids = cut(sets.select(F.col("_set").alias("set"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("order")))
-    pairs = near(sets.select(F.col("_set").alias("set"), F.col("_n").alias("n"), "text", F.struct(*(F.col(x).alias(x[1:]) for x in parities)).alias("p")))
-    a, b = ids.select(F.col("set").alias("a"), F.col("id").alias("ia")), ids.select(F.col("set").alias("b"), F.col("id").alias("ib"))
-    roots = components(pairs.join(a, "a").join(b, "b").select(F.col("ia").alias("a"), F.col("ib").alias("b")))
-    kept = ids.join(roots, ids.id == roots.node, "left").filter("root is null or root = id")
-    one = kept.groupBy("id").agg(F.min_by("set", F.struct("order", "set")).alias("_set"))
-    return sets.join(one.select("_set"), "_set", "left_semi").select(*cols).unionByName(docs.filter("doc_id is null"))
+    again = docs.join(many, same(docs)).groupBy("k", "o").agg(F.min(F.struct(*cols)).alias("r")).select("r.*")
+    return out.select(*cols).unionByName(again)

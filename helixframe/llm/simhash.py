@@ -2,18 +2,17 @@
 
 Fingerprints have 64 bits. They are cut into three segments (22, 21, 21 bits), so of two
 that differ in at most four bits, one segment differs in at most one. That segment is found
-by equality: each fingerprint is listed under each whole segment and under each segment with
-one bit taken out (a wildcard), there on the side of that bit's value; two that meet there
-from opposite sides differ in just that bit of the segment. Every meeting is verified on all
-bits, inside the join.
+by equality: each fingerprint is listed under each segment with one bit taken out (a
+wildcard). Every meeting is verified on all bits, inside the join.
 
 Beyond ``WIDE`` distinct fingerprints, segment keys alone would bring too many strangers
 together. There the key also takes a part of the other bits, again by the pigeonhole rule:
 after a whole segment, four differences leave one of five parts equal; after a wildcard,
 three leave one of four. No pair is lost either way.
 
-Documents with one fingerprint are one row throughout. Components come from repeated
-min-label rounds over the links, each cut by a reliable checkpoint.
+Documents with one fingerprint are one row throughout. Large groups of near copies are first
+linked through the least and the greatest fingerprint of each whole segment, so that only
+pairs which these links leave apart are tested (``linking``).
 """
 
 from __future__ import annotations
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import words as W
 from .common import cut, stored, table
+from .linking import components, cross_pairs, labelled, labels
 from .xxh import xxh64
 
 SEGMENTS = ((0, 22), (22, 43), (43, 64))
@@ -71,8 +71,7 @@ def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def _bits(lo: int, hi: int) -> int:
-    m = ((1 << hi) - 1) ^ ((1 << lo) - 1)
-    return m - (1 << 64) if m >> 63 else m
+    return ((1 << hi) - 1) ^ ((1 << lo) - 1)
 
 
 def _signed(m: int) -> int:
@@ -86,7 +85,7 @@ def _signatures(wide: bool) -> list[tuple[int, int]]:
     for lo, hi in SEGMENTS:
         seg = [i for i in range(64) if lo <= i < hi]
         rest = [i for i in range(64) if i not in seg]
-        for bit in (-1, *seg):
+        for bit in (-1, *seg) if wide else seg:  # whole segments meet under any wildcard, but for the other parts
             parts = (5 if bit < 0 else 4) if wide else 1
             for p in range(parts):
                 agree = [i for i in seg if i != bit] + ([i for k, i in enumerate(rest) if k * parts // len(rest) == p] if wide else [])
@@ -94,51 +93,43 @@ def _signatures(wide: bool) -> list[tuple[int, int]]:
     return out
 
 
-def links(prints: DataFrame, wide: bool, distance: int = 4) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints (column fp) that differ in 1 to ``distance`` bits (at most four)."""
-    sigs = F.array(*[F.struct(F.lit(n).alias("sig"), F.lit(bit).alias("bit"), F.lit(mask).alias("mask")) for n, (bit, mask) in enumerate(_signatures(wide))])
-    rows = prints.select("fp", F.explode(sigs).alias("s")).select(
-        "fp", F.col("s.sig").cast("short").alias("sig"), F.col("fp").bitwiseAND(F.col("s.mask")).alias("key"),
-        F.when(F.col("s.bit") >= 0, F.expr("cast(shiftrightunsigned(fp, s.bit) & 1 as int)")).alias("side"),
-    )
-    a = rows.filter("side is null or side = 0").select("sig", "key", F.col("fp").alias("a"), "side")
-    b = rows.filter("side is null or side = 1").select("sig", "key", F.col("fp").alias("b"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    met = a.join(b, (a.sig == b.sig) & (a.key == b.key) & (F.col("a") != F.col("b")) & (F.col("side").isNotNull() | (F.col("a") < F.col("b"))) & near)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def hub_links(prints: DataFrame, distance: int = 4) -> DataFrame:
+    """Pairs (a, b): fingerprints (node) near the least or the greatest one that shares a whole segment with them."""
+    segments = F.array(*[F.struct(F.lit(n).cast("short").alias("sig"), F.lit(_signed(_bits(*s))).alias("mask")) for n, s in enumerate(SEGMENTS)])
+    rows = prints.select("node", F.explode(segments).alias("s")).select("node", "s.sig", F.col("node").bitwiseAND(F.col("s.mask")).alias("key"))
+    hubs = rows.groupBy("sig", "key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi")
+    met = rows.join(hubs, ["sig", "key"]).select("node", F.explode(F.array("lo", "hi")).alias("hub"))
+    met = met.filter((F.col("node") != F.col("hub")) & (F.bit_count(F.col("node").bitwiseXOR(F.col("hub"))) <= distance))
+    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node reachable from each node of edges (a, b).
+def links(prints: DataFrame, wide: bool, distance: int = 4, known: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of distinct fingerprints (node) that differ in 1 to ``distance`` bits (at most four) and whose labels differ.
 
-    Alternates large-star and small-star rounds, in which each node links its neighbours to
-    the least of them, until nothing changes. Both group by node with pre-aggregated minima,
-    so a node with very many links is not gathered.
+    known: labels (node, root, size) of fingerprints that are connected already.
     """
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = cut(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(least.select("u", F.col("m").alias("v"))).distinct())
-        if small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty():
-            return small.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-        edges = small
+    sigs = F.array(*[F.struct(F.lit(n).cast("short").alias("sig"), F.lit(mask).alias("mask")) for n, (_, mask) in enumerate(_signatures(wide))])
+    rows = labelled(prints.select("node"), known).select("node", "root", "size", F.explode(sigs).alias("s"))
+    rows = rows.select("s.sig", F.col("node").bitwiseAND(F.col("s.mask")).alias("key"), "node", "root", "size")
+    return cross_pairs(rows, ["sig", "key"], f"bit_count(a_node ^ b_node) <= {distance}")
+
+
+def edges(prints: DataFrame, distance: int = 4) -> DataFrame:
+    """Links that connect all fingerprints (node) within ``distance`` bits of each other, each of them within it."""
+    hubs = cut(hub_links(prints, distance))
+    known = None if hubs.isEmpty() else labels(hubs)
+    return hubs.union(cut(links(prints, prints.count() > WIDE, distance, known)))
 
 
 def classes(prints: DataFrame, distance: int = 4) -> DataFrame:
-    """(fp, root): the least of the ids (column id) in each fingerprint's component.
+    """(fp, root): the least of the ids (column id) in each fingerprint's component, null if it has none.
 
     prints: one row (fp, id) for each distinct fingerprint.
     """
-    pairs = cut(links(prints, prints.count() > WIDE, distance))
-    ids = prints.select("fp", "id")
-    # ids are not in the order of the fingerprints: components are of ids
-    edges = pairs.join(ids.withColumnRenamed("fp", "a").withColumnRenamed("id", "ia"), "a").join(ids.withColumnRenamed("fp", "b").withColumnRenamed("id", "ib"), "b")
-    roots = components(edges.select(F.col("ia").alias("a"), F.col("ib").alias("b")))
-    return ids.join(roots, ids.id == roots.node, "left").select("fp", F.coalesce("root", "id").alias("root"))
+    roots = components(edges(prints.select(F.col("fp").alias("node")), distance))
+    whole = cut(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("top")))
+    least = whole.groupBy("top").agg(F.min("id").alias("root"))
+    return whole.join(least, "top").select("fp", "root")
 
 
 def simhash(docs: DataFrame, distance: int = 4) -> DataFrame:
@@ -150,29 +141,9 @@ def simhash(docs: DataFrame, distance: int = 4) -> DataFrame:
     result; columns beyond doc_id and text are ignored.
     """
     rows = stored(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id"), "simhash")
-    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    known = prints.filter("id is not null")
-    lost = prints.filter("id is null").select("fp", F.lit(None).cast("long").alias("root"))
-    found = classes(known, distance).union(lost)
+    found = classes(cut(rows.groupBy("fp").agg(F.min("doc_id").alias("id"))), distance)
     return rows.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("root").alias("component_id"))
 
 
-def dedup(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """The rows of documents with one document of each component: that with the least doc_id.
-
-    This is op8's rule, on fingerprints alone; the pipeline's stage is shingles.dedup(). Of
-    rows that share that doc_id, the one whose text is least by a hash stays; rows without a
-    doc_id all stay.
-    """
-    rows = stored(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id").distinct(), "dedup")
-    prints = cut(rows.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
-    found = classes(prints, distance)
-    kept = found.select(F.col("root").alias("doc_id")).distinct()
-    whole = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    cols = docs.columns
-    one = whole.groupBy("doc_id").agg(F.min_by(F.struct(*cols), F.struct(F.xxhash64("text"), F.xxhash64(*cols))).alias("r")).select("r.*")
-    return one.select(*cols).unionByName(docs.filter("doc_id is null"))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash(table(spark, sf_dir, "documents", "doc_id", "text"))

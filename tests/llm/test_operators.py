@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontamination, fmindex, langid, mixing, planes, quality, secrets, simhash, tokens, toxicity, urls, vptree, words
+from helixframe.llm import decontamination, fmindex, langid, linking, mixing, planes, quality, secrets, shingles, simhash, tokens, toxicity, urls, vptree, words
 from helixframe.llm.xxh import xxh64
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, extra string"
@@ -331,9 +331,10 @@ def test_links_and_components(spark):
     for i, f in sorted(prints.items()):
         distinct.setdefault(f, i)
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for f, i in distinct.items()], "fp long, id long")
+    nodes = df.withColumnRenamed("fp", "node")
     want = {(min(a, b), max(a, b)) for a in df.toPandas().fp for b in df.toPandas().fp if a != b and ((int(a) ^ int(b)) & (2**64 - 1)).bit_count() <= 4}
     for wide in (False, True):
-        assert {(r.a, r.b) for r in simhash.links(df, wide).collect()} == want
+        assert {(r.a, r.b) for r in simhash.links(nodes, wide).collect()} == want
     roots = {r.fp & (2**64 - 1): r.root for r in simhash.classes(df).collect()}
     comp = brute_components(prints)
     assert all(roots[f] == comp[i] for i, f in prints.items())
@@ -345,14 +346,71 @@ def test_simhash(spark, awkward, none):
     assert sorted(x[:2] for x in got if x[0] is not None) == sorted((d, f"{slow_print(t):016x}") for d, t in src if d is not None)
     comp = {d: c for d, _, c in got}
     assert comp[0] == comp[1] == comp[2] == 0 and comp[4] == comp[5] == comp[None] == 4 and len(got) == 13
-    assert simhash.simhash(none).count() == 0 and simhash.dedup(none.select("doc_id", "text", "lang", "source", "n_chars")).count() == 0
-    kept = simhash.dedup(awkward.select("doc_id", "text", "lang", "source", "n_chars")).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({c for d, c in comp.items() if d is not None})
+    assert simhash.simhash(none).count() == 0
+
+
+def test_simhash_links_through_rows_without_ids(spark):
+    f = 0x0F0F0F0F0F0F0F0F
+    prints = spark.createDataFrame([(f, 5), (f ^ 0b1111, None), (f ^ 0b11111111, 3), (~f, None)], "fp long, id long")
+    assert {r.fp: r.root for r in simhash.classes(prints).collect()} == {f: 3, f ^ 0b1111: 3, f ^ 0b11111111: 3, ~f: None}
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_near_group_has_no_quadratic_pairs(spark, wide, monkeypatch):
+    """A group of 3,000 prints within a few bits of each other, and a chain: the pairs that are compared stay near the number of prints."""
+    rng = np.random.default_rng(21)
+    base = int(rng.integers(0, 2**62))
+    prints = {base}
+    while len(prints) < 3000:
+        f = base
+        for b in rng.choice(62, 2, replace=False):
+            f ^= 1 << int(b)
+        prints.add(f)
+        if len(prints) > 1800:
+            for b in rng.choice(62, 3, replace=False):
+                f ^= 1 << int(b)
+            prints.add(f)
+    prints = sorted(prints)
+    if wide:
+        monkeypatch.setattr(simhash, "WIDE", 10)
+    df = spark.createDataFrame([(f,) for f in prints], "node long")
+    pairs = [(r.a, r.b) for r in simhash.edges(df).collect()]
+    assert len(pairs) < 8 * len(prints) and all((a ^ b).bit_count() <= 4 for a, b in pairs)
+    root = {f: f for f in prints}
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def classes(links):
+        for f in prints:
+            root[f] = f
+        for a, b in links:
+            root[find(a)] = find(b)
+        groups = {}
+        for f in prints:
+            groups.setdefault(find(f), []).append(f)
+        return sorted(groups.values())
+
+    v = np.array(prints, np.uint64)
+    every = [(prints[i], prints[j]) for i in range(len(v)) for j in np.flatnonzero(np.bitwise_count(v[i] ^ v[:i]) <= 4)]
+    assert classes(pairs) == classes(every)
+
+
+def test_dedup_takes_any_rows(spark, awkward, none):
+    kept = shingles.dedup(awkward).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(map(str, [0, 3, 4, 7, 8, 9, 77]))
+    assert kept[0].__fields__ == awkward.columns and shingles.dedup(none).count() == 0
+    rows = [(None, "one two three four five six", 1), (None, "one two three four five six", 2), (1, "a b", 1), (1, "a b", 1), (1, "c d", 1), (2, "c  D", 5)]
+    got = shingles.dedup(spark.createDataFrame(rows, "doc_id long, text string, key int")).collect()
+    assert sorted((str(r.doc_id), r.text.lower().split()[0], r.key) for r in got) == [("1", "a", 1), ("1", "c", 1), ("None", "one", 1)]
 
 
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
-    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    got = {r.node: r.root for r in linking.components(edges).collect()}
     assert all(got[i] == 0 for i in range(1, 61)) and got[101] == 100
 
 
