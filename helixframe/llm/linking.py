@@ -8,29 +8,57 @@ the label of a key's largest class are then tested against the key's other rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut, stored
 
 
+FEW = 1 << 20  #: edges that one task may finish by itself
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the components of FEW edges (u, v) at most."""
+    pairs = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    if not pairs:
+        return
+    nodes, ends = np.unique(np.concatenate([np.concatenate(x) for x in zip(*pairs, strict=True)]), return_inverse=True)
+    a, b = ends[: len(ends) // 2], ends[len(ends) // 2 :]
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[a], root[b])
+        if (root[a] == root[b]).all():
+            break
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
+        while (root[root] != root).any():
+            root = root[root]
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.record_batch([pa.array(nodes[other]), pa.array(nodes[root[other]])], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable from each node of edges (a, b), for all that aren't roots.
 
-    Alternates large-star and small-star rounds, in which each node links its neighbours to
-    the least of them, until nothing changes. Both group by node with pre-aggregated minima,
-    so a node with very many links is not gathered.
+    Up to FEW edges are solved by one task. More go through large-star and small-star rounds,
+    in which each node links its neighbours to the least of them, until every edge leads to a
+    root or few enough are left. Both group by node with pre-aggregated minima, so a node with
+    very many links is not gathered.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    while True:
+    while edges.count() > FEW:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = cut(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(least.select("u", F.col("m").alias("v"))).distinct())
-        if small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty():
-            return small.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-        edges = small
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        edges = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        if edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return edges.coalesce(1).mapInArrow(_solve, "node long, root long")
 
 
 def labels(edges: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ SAMPLE = 8192  #: documents in the sample for the order, or a thirty-second of a
 BYTES = 1 << 20  #: of text at once
 PARITIES = 8  #: longs of 64 parities each
 COMMON = 1 << 17  #: common shingles sent to the executors; the order of the rest is by hash
-ROUNDS = 5  #: rounds of links to hubs, at most
+ROUNDS = 2  #: rounds of links to hubs, at most
 SMALL = 1 << 20  #: rows of two numbers that may be sent to the executors
 
 _TAGS = np.uint64(14)  #: bits for a text's number in a batch
@@ -234,25 +234,30 @@ def near(docs: DataFrame, rows: DataFrame) -> DataFrame:
     alike = simhash.edges(head.select(F.col("fp").alias("node")))
     to_node = lambda x, y: head.select(F.col("fp").alias(x), F.col("b").alias(y))
     first = alike.join(to_node("a", "x"), "a").join(to_node("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    links = texts.verified(first.union(fp.join(head, "fp").filter("node != b").select(F.col("node").alias("a"), "b")))
-    known = None if links.isEmpty() else labels(links)
+    first = first.union(fp.join(head, "fp").filter("node != b").select(F.col("node").alias("a"), "b"))
     by_key = Window.partitionBy("key")
     each = rows.filter("keys is not null").select("node", "n", F.posexplode("keys").alias("pos", "key"))
     each = each.withColumn("lo", F.min("node").over(by_key)).withColumn("hi", F.max("node").over(by_key)).filter("lo != hi").select("key", "node", "n", "pos").distinct()
-    each, most = stored(each, "keys"), None
-    for k in range(ROUNDS):
-        apart = labelled(each, known)
+    each = stored(each, "keys")
+    links = texts.verified(first.union(_to_hubs(labelled(each, None), 0)).distinct())
+    known, most = labels(links), None
+    for k in range(1, ROUNDS + 1):
+        apart = labelled(each, known).withColumn("lo", F.min("root").over(by_key)).withColumn("hi", F.max("root").over(by_key)).filter("lo != hi").drop("lo", "hi")
+        apart = stored(apart, "keys")
+        each = apart.select("key", "node", "n", "pos")
+        if k == ROUNDS:
+            break
         new = texts.verified(_to_hubs(apart, k))
         found = new.count()
-        if found:
-            links = links.union(new)
-            known = labels(links)
-            each = labelled(each, known).withColumn("lo", F.min("root").over(by_key)).withColumn("hi", F.max("root").over(by_key)).filter("lo != hi").select("key", "node", "n", "pos")
-            each = stored(each, "keys")
+        if not found:
+            break
+        links = links.union(new)
+        known = labels(links)
         most = found if most is None else most
-        if found * 100 <= most:
+        if found * 10 < most:
+            apart = labelled(each, known)
             break
-    return links.union(texts.verified(cross_pairs(labelled(each, known), ["key"], _CAN)))
+    return links.union(texts.verified(cross_pairs(apart, ["key"], _CAN)))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -279,7 +284,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     same = lambda df: is_it(df) & df["doc_id"].cast("long").eqNullSafe(F.col("k"))
     out = docs.join(F.broadcast(gone) if small else gone.hint("merge"), same(docs), "left_anti")
     # rows that repeat: one of each
-    many = kept.filter("copies > 1").select(F.col("doc_id").alias("k"), F.col("order").alias("o"))
+    many = cut(kept.filter("copies > 1").select(F.col("doc_id").alias("k"), F.col("order").alias("o")))
     cols = docs.columns
-    again = docs.join(many, same(docs)).groupBy("k", "o").agg(F.min(F.struct(*cols)).alias("r")).select("r.*")
+    again = docs.join(F.broadcast(many) if many.count() <= SMALL else many.hint("merge"), same(docs)).groupBy("k", "o").agg(F.min(F.struct(*cols)).alias("r")).select("r.*")
     return out.select(*cols).unionByName(again)

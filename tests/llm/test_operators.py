@@ -408,10 +408,13 @@ def test_dedup_takes_any_rows(spark, awkward, none):
     assert sorted((str(r.doc_id), r.text.lower().split()[0], r.key) for r in got) == [("1", "a", 1), ("1", "c", 1), ("None", "one", 1)]
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("few", [0, 40, 1 << 20])
+def test_components_of_a_long_chain(spark, few, monkeypatch):
+    monkeypatch.setattr(linking, "FEW", few)
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in linking.components(edges).collect()}
-    assert all(got[i] == 0 for i in range(1, 61)) and got[101] == 100
+    assert got == {i: 0 for i in range(1, 61)} | {101: 100}
+    assert linking.components(edges.limit(0)).count() == 0
 
 
 # 9
