@@ -85,3 +85,8 @@ def dna_to_iupac16(codes: Column) -> Column:
 def phred(quals: Column, offset: int = 33) -> Column:
     """ASCII qualities as numbers."""
     return F.transform(F.split(quals, ""), lambda c: F.ascii(c) - offset)
+
+
+def checksum(seq: Column) -> Column:
+    """CRC-32 of a sequence's symbols."""
+    return F.crc32(seq.cast("binary"))

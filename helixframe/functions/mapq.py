@@ -1,4 +1,8 @@
-"""Scoring schemes of read mapping and mapping qualities, as Column expressions."""
+"""Scoring schemes of read mapping and mapping qualities, as Column expressions.
+
+Shares of score ranges are taken in single precision, and minimum scores are cut to integers
+toward zero, as their tables were made for.
+"""
 
 from __future__ import annotations
 
@@ -37,7 +41,13 @@ def perfect_score(s: Scoring, length: Column) -> Column:
 
 
 def min_score(s: Scoring, length: Column) -> Column:
-    return F.lit(s.min_const) + s.min_coeff * (F.log(length) if s.log_length else length)
+    """An integer, cut toward zero."""
+    x = (F.log(length) if s.log_length else length).cast("float")
+    return (_single(s.min_const) + _single(s.min_coeff) * x).cast("int")
+
+
+def _single(x: float) -> Column:
+    return F.lit(x).cast("float")
 
 
 def mismatch_cost(s: Scoring, quality: Column) -> Column:
@@ -86,7 +96,7 @@ def _tiers(value: Column, tiers: list, range_: Column, result) -> Column:
         if least is None:
             out = x
         else:
-            reached = value > 0 if least == 0 else value >= range_ * least
+            reached = value > 0 if least == 0 else value >= range_ * _single(least)
             out = F.when(reached, x) if out is None else F.when(reached, x).otherwise(out)
     return out
 
@@ -96,23 +106,30 @@ def mapq(s: Scoring, best: Column, second: Column, length: Column, mate_length:
     top, low = perfect_score(s, length), min_score(s, length)
     if mate_length is not None:
         top, low = top + perfect_score(s, mate_length), low + min_score(s, mate_length)
-    range_, over = top - low, best - low
+    range_, over = (top - low).cast("float"), (best - low).cast("float")
     one, two = (ONE_GLOBAL, TWO_GLOBAL) if s.monotone else (ONE_LOCAL, TWO_LOCAL)
     quality = lambda q: F.lit(q)
     single = _tiers(over, one, range_, quality)
-    gap = F.abs(F.abs(best) - F.abs(second))
+    gap = F.abs(F.abs(best) - F.abs(second)).cast("float")
     double = _tiers(gap, two, range_, lambda x: _tiers(over, x, range_, quality))
     return F.when(best < low, 0).when(second.isNull(), single).otherwise(double).cast("int")
 
 
-def mapq_v3(s: Scoring, best: Column, second: Column, length: Column, paired: Column | None = None) -> Column:
-    """The table-driven mapping quality; a perfect score is one equal to the best possible."""
+def mapq_v3(s: Scoring, best: Column, second: Column, length: Column, paired: Column | None = None, compat: bool = True) -> Column:
+    """The table-driven mapping quality.
+
+    compat: a score counts as perfect if what it lost equals the best possible score, and the
+    perfect row is read by the lost score's bin. Otherwise a perfect score is one that equals
+    the best possible, and its row is read by the bin of the difference.
+    """
     top, low = perfect_score(s, length), min_score(s, length)
-    bin = lambda x: F.least(F.floor(x * 10.0 / (top - low) + 0.5), F.lit(10)).cast("int")
-    lost = F.greatest(top - best, F.lit(0))
+    norm = F.lit(10.0).cast("float") / (top - low).cast("float")
+    norm = norm.cast("float")  # division is in double precision
+    bin = lambda x: F.least((x.cast("float") * norm + _single(0.5)).cast("int"), F.lit(10))
+    lost, apart = F.greatest(top - best, F.lit(0)), best - second
     row = lambda v: F.array(*[F.lit(x) for x in v])
-    perfect = best >= top
+    perfect = lost == top if compat else best >= top
     one = F.when(perfect, V3_ONE_PERFECT).otherwise(F.get(row(V3_ONE), bin(lost)))
-    two = F.when(perfect, F.get(row(V3_TWO_PERFECT), bin(best - second))).otherwise(F.get(F.get(F.array(*[row(x) for x in V3_TWO]), bin(best - second)), bin(lost)))
+    two = F.when(perfect, F.get(row(V3_TWO_PERFECT), bin(lost if compat else apart))).otherwise(F.get(F.get(F.array(*[row(x) for x in V3_TWO]), bin(apart)), bin(lost)))
     single = F.when(best < low, 0).when(second.isNull(), one).otherwise(two).cast("int")
     return single if paired is None else F.when(paired, V3_ONE_PERFECT).otherwise(single)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,14 +25,14 @@ def _batches(patterns: list[str], texts: list[str]) -> Iterator[tuple[int, int]]
 
 
 def align(pairs: DataFrame, scheme: kernels.Scheme = kernels.EDIT, mode: str = "global", band: int | None = None, trace: bool = False, keep: tuple[str, ...] = ("pattern_id", "text_id")) -> DataFrame:
-    """The kept columns with score, text_end, pattern_end and, with trace, text_begin, pattern_begin, cigar.
+    """The kept columns with score, text_end, pattern_end and, with trace, text_begin, pattern_begin, nm (edits), cigar, md.
 
     pairs: pattern, text (a null pair has null results). Pairs are sorted by length within
     their batch, so that padding is small.
     """
     fields = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    ints = ["score", "text_end", "pattern_end", *(["text_begin", "pattern_begin"] if trace else [])]
-    names = [*ints, *(["cigar"] if trace else [])]
+    ints = ["score", "text_end", "pattern_end", *(["text_begin", "pattern_begin", "nm"] if trace else [])]
+    names = [*ints, *(["cigar", "md"] if trace else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -42,6 +43,9 @@ def align(pairs: DataFrame, scheme: kernels.Scheme = kernels.EDIT, mode: str = "
             for i, j in _batches(ps, ts):
                 for k, r in zip(order[i:j], kernels.align(ps[i:j], ts[i:j], scheme, mode, band, trace), strict=True):
                     got[k] = r
+                    if trace and r["score"] is not None:
+                        r["md"] = md_string(p[k], t[k], r)
+                        r["nm"] = edits(r["cigar"], r["md"])
             cols = [pa.array([r.get(c) for r in got], pa.int32() if c in ints else pa.string()) for c in names]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], [*keep, *names])
 
@@ -80,10 +84,14 @@ def gap_counts(cigar: Column) -> tuple[Column, Column]:
     return F.size(gaps), F.aggregate(gaps, F.lit(0), lambda a, x: a + x["n"] - 1)
 
 
+def edits(cigar: str, md: str) -> int:
+    """The number of mismatching, inserted and deleted symbols."""
+    inserted = sum(int(n) for n in re.findall(r"(\d+)I", cigar))
+    return inserted + sum(c.isalpha() for c in md)
+
+
 def md_string(pattern: str, text: str, result: dict) -> str:
     """The MD tag of a traced alignment: runs of matches, mismatching text symbols, ^ and deleted ones."""
-    import re
-
     i, j, run, out = result["text_begin"], result["pattern_begin"], 0, []
     for n, op in ((int(n), op) for n, op in re.findall(r"(\d+)([MID])", result["cigar"])):
         if op == "M":

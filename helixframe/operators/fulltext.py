@@ -1,8 +1,8 @@
-"""Maximal exact matches of patterns in a reference of bounded size, on Arrow batches.
+"""Maximal exact matches of patterns in references.
 
-The reference's suffix array is sent to the executors, so its size is checked; longer
-references are searched shard by shard (mems of shards, each with an overlap of the longest
-pattern), or by q-gram joins.
+``maximal_matches`` is a join of seeds, for references of any size. The variants that count
+occurrences below a seed's length, split or take thresholds use a suffix array on Arrow
+batches; its reference is sent to the executors, so its size is checked (LIMIT).
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F
+
+from . import joins, seeds
 
 LIMIT = 1 << 24  #: symbols of a reference that may be sent
 
@@ -49,6 +51,29 @@ class SuffixArray:
         return hi - lo
 
 
+def maximal_matches(patterns: DataFrame, references: DataFrame, min_span: int, most: int | None = None) -> DataFrame:
+    """pattern_id, begin, end, n: the stretches of min_span symbols or more that occur in a reference and that no longer one holds.
+
+    patterns: pattern_id, pattern. references: ref_id, seq. Seeds of min_span symbols meet by
+    equality; seeds in a row on one diagonal make a match, the longest match from each place
+    counts, and n is the number of reference places that have it (stretches with more than
+    ``most`` are left out). Symbols other than A, C, G, T match nothing.
+    """
+    grams = lambda df, key, seq: seeds.without_ambiguity(seeds.qgrams(df.select(F.col(key).alias("string_id"), F.col(seq).alias("seq")), min_span))
+    ref = grams(references, "ref_id", "seq").select("gram", F.col("string_id").alias("ref_id"), F.col("pos").alias("ref_pos"))
+    hits = grams(patterns, "pattern_id", "pattern").join(joins.small_side(ref), "gram").select(F.col("string_id").alias("pattern_id"), "pos", "ref_id", (F.col("ref_pos") - F.col("pos")).alias("diag"))
+    row = F.row_number().over(Window.partitionBy("pattern_id", "ref_id", "diag").orderBy("pos"))
+    end = F.max("pos").over(Window.partitionBy("pattern_id", "ref_id", "diag", "island")) + min_span
+    each = hits.withColumn("island", F.col("pos") - row).withColumn("end", end)
+    by_end = each.groupBy("pattern_id", "pos", "end").agg(F.count("*").alias("n"))
+    longest = by_end.groupBy("pattern_id", F.col("pos").alias("begin")).agg(F.max(F.struct("end", "n")).alias("m")).select("pattern_id", "begin", "m.end", "m.n")
+    before = Window.partitionBy("pattern_id").orderBy("begin")
+    last, at = F.lag("end").over(before), F.lag("begin").over(before)
+    held = (at == F.col("begin") - 1) & (last >= F.col("end"))
+    found = longest.withColumn("held", F.coalesce(held, F.lit(False))).filter("not held").drop("held")
+    return found.filter(F.col("n") <= most) if most else found
+
+
 def mems(index: SuffixArray, pattern: str, least: int = 1, min_span: int = 1, most: int | None = None, split_span: int | None = None, split_width: int = 0) -> list[tuple[int, int, int]]:
     """(begin, end, occurrences) of the maximal stretches that occur at least ``least`` times.
 
@@ -99,6 +124,18 @@ def find_mems(patterns: DataFrame, reference: str, **options) -> DataFrame:
     return patterns.select("pattern_id", "pattern").mapInArrow(run, "pattern_id long, begin int, end int, n long")
 
 
+def threshold_matches(patterns: DataFrame, reference: str) -> DataFrame:
+    """pattern_id, at, begin, end, n: threshold_mems() of patterns (pattern_id, pattern, at)."""
+    sent = patterns.sparkSession.sparkContext.broadcast(SuffixArray(reference))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, x, *m) for i, s, x in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) for m in threshold_mems(sent.value, s or "", x)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], ["pattern_id", "at", "begin", "end", "n"])
+
+    return patterns.select("pattern_id", "pattern", "at").mapInArrow(run, "pattern_id long, at int, begin int, end int, n long")
+
+
 def locate_mems(found: DataFrame, patterns: DataFrame, reference: str) -> DataFrame:
     """pattern_id, begin, end, pos: the reference places of each stretch."""
     sent = patterns.sparkSession.sparkContext.broadcast(SuffixArray(reference))

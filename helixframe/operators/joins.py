@@ -7,15 +7,23 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import seeds
 
 
+SMALL = 1 << 18  #: rows that may be sent to all executors
+
+
+def small_side(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """df marked to be sent to all executors if it has few rows, counted first; else Spark shuffles both sides."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def exact_match(patterns: DataFrame, strings: DataFrame, size: int) -> DataFrame:
     """patterns (with a column pattern of ``size`` symbols) with string_id and pos of each occurrence."""
     grams = seeds.qgrams(strings, size).withColumnRenamed("gram", "pattern")
-    return patterns.join(grams, "pattern")
+    return grams.join(small_side(patterns), "pattern").select(*patterns.columns, "string_id", "pos")
 
 
 def hamming(a, b):
     """The number of places at which two strings of one length differ."""
-    return F.size(F.filter(F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y")), lambda p: p["x"] != p["y"]))
+    return F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda d: d))
 
 
 def hamming_match(patterns: DataFrame, strings: DataFrame, size: int, seed: int, most: int) -> DataFrame:
@@ -25,7 +33,7 @@ def hamming_match(patterns: DataFrame, strings: DataFrame, size: int, seed: int,
     """
     key = F.substring("pattern", size - seed + 1, seed)
     grams = seeds.qgrams(strings, size).withColumn("key", F.substring("gram", size - seed + 1, seed))
-    pairs = patterns.withColumn("key", key).join(grams, "key")
+    pairs = grams.join(small_side(patterns).withColumn("key", key), "key").select("key", *patterns.columns, "string_id", "pos", "gram")
     return pairs.withColumn("mismatches", hamming(F.col("pattern"), F.col("gram"))).filter(F.col("mismatches") <= most)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from helixframe.functions import codecs, kernels, mapq as mq
 
-from . import alignment, primitives, qgram, seeds
+from . import alignment, joins, primitives, qgram, seeds
 
 
 @dataclass(frozen=True)
@@ -39,16 +39,28 @@ def candidates(reads: DataFrame, reference: DataFrame, p: Mapper = Mapper()) ->
     strands = both_strands(reads).withColumn("string_id", F.struct("read_id", "rc"))
     queries = seeds.without_ambiguity(seeds.qgrams(strands.select("string_id", "seq"), p.q, p.read_interval))
     index = seeds.without_ambiguity(seeds.qgrams(reference.select(F.col("ref_id").alias("string_id"), "seq"), p.q, p.ref_interval))
-    d = qgram.diagonals(qgram.hits(index, queries), p.snap)
+    d = qgram.diagonals(qgram.hits(index, joins.small_side(queries)), p.snap)
     return d.select("query_id.read_id", "query_id.rc", F.col("string_id").alias("ref_id"), "diag", "n_hits")
 
 
+CELL = 1024  #: symbols of a piece of the reference
+
+
 def windows(found: DataFrame, reads: DataFrame, reference: DataFrame, p: Mapper = Mapper()) -> DataFrame:
-    """Candidates with pattern (the read on its strand), begin and text (the reference window of each)."""
+    """Candidates with pattern (the read on its strand), begin and text (the reference window of each).
+
+    Windows meet the reference by pieces of it, so that no row carries a whole sequence.
+    """
     begin = F.greatest(F.col("diag") - p.band // 2, F.lit(0)).cast("int")
-    rows = found.join(both_strands(reads).withColumnRenamed("seq", "pattern"), ["read_id", "rc"]).join(reference.withColumnRenamed("seq", "ref"), "ref_id")
-    end = F.least(begin + F.length("pattern") + p.band, F.length("ref"))
-    return rows.withColumn("begin", begin).withColumn("text", codecs.infix(F.col("ref"), F.col("begin"), end)).drop("ref")
+    rows = found.join(both_strands(reads).withColumnRenamed("seq", "pattern"), ["read_id", "rc"]).withColumn("begin", begin)
+    end = (F.col("begin") + F.length("pattern") + p.band - 1) / CELL  # the window's last symbol, if the reference reaches so far
+    touched = rows.select("*", F.explode(F.sequence(F.floor(F.col("begin") / CELL), F.floor(end))).alias("cell"))
+    pieces = seeds.stretches(reference.select(F.col("ref_id").alias("string_id"), "seq"), CELL).select(F.col("string_id").alias("ref_id"), F.floor(F.col("begin") / CELL).alias("cell"), "stretch")
+    met = touched.join(pieces, ["ref_id", "cell"])
+    joined = met.groupBy("read_id", "rc", "ref_id", "diag", "n_hits", "pattern", "begin").agg(F.array_sort(F.collect_list(F.struct("cell", "stretch"))).alias("_p"))  # the pieces of one window
+    inside = F.col("begin") - F.element_at("_p", 1)["cell"] * CELL
+    text = F.substring(F.array_join("_p.stretch", ""), (inside + 1).cast("int"), F.length("pattern") + p.band)
+    return joined.withColumn("text", text).drop("_p")
 
 
 def scored(rows: DataFrame, p: Mapper = Mapper(), trace: bool = False) -> DataFrame:
@@ -64,24 +76,25 @@ def best_scores(scores: DataFrame) -> DataFrame:
 
 def best_two(scores: DataFrame, distance: int = 16) -> DataFrame:
     """The best row of each read (ties: smaller reference, place, forward strand) with sec_score: the best on another reference or strand, or further off than ``distance``."""
-    # the better, the larger: negated tie-breakers
-    order = F.struct("score", -F.col("ref_id"), -F.col("sink"), ~F.col("rc"))
     cols = ["ref_id", "rc", "diag", "begin", "sink", "score"]
-    first = primitives.best(scores, ["read_id"], order, cols)
-    r = first.select("read_id", *[F.col(c).alias(f"_{c}") for c in ("ref_id", "rc", "sink")])
-    other = scores.join(r, "read_id").filter((F.col("ref_id") != F.col("_ref_id")) | (F.col("rc") != F.col("_rc")) | (F.abs(F.col("sink") - F.col("_sink")) > distance))
-    return first.join(other.groupBy("read_id").agg(F.max("score").alias("sec_score")), "read_id", "left")
+    first = F.first(F.struct(*cols)).over(Window.partitionBy("read_id").orderBy(F.desc("score"), "ref_id", "sink", "rc"))
+    # scores are made once: one pass finds the best, and what is far enough from it
+    rows = scores.select("read_id", *cols).withColumn("_b", first)
+    far = (F.col("ref_id") != F.col("_b.ref_id")) | (F.col("rc") != F.col("_b.rc")) | (F.abs(F.col("sink") - F.col("_b.sink")) > distance)
+    return rows.groupBy("read_id").agg(F.max("_b").alias("_b"), F.max(F.when(far, F.col("score"))).alias("sec_score")).select("read_id", "_b.*", "sec_score")
 
 
 def map_reads(reads: DataFrame, reference: DataFrame, p: Mapper = Mapper()) -> DataFrame:
-    """read_id, ref_id, pos, rc, score, sec_score, cigar, md is left to the sink: the best alignment of each read that has one, and its quality (mapq)."""
+    """The best alignment of each read that has one: read_id, ref_id, pos, rc, score, sec_score, cigar, its tags (nm, md, and the numbers of mismatches xm, gap openings xo and gap extensions xg), and its quality (mapq)."""
     best = best_two(scored(windows(candidates(reads, reference, p), reads, reference, p), p))
     # the traceback is made for the chosen rows alone
     chosen = windows(best.select("read_id", "rc", "ref_id", "diag", F.lit(0).alias("n_hits")), reads, reference, p)
-    traced = scored(chosen, p, trace=True).select("read_id", "cigar", "text_begin", "pattern", "text")
+    traced = scored(chosen, p, trace=True).select("read_id", "cigar", "text_begin", "pattern", "nm", "md")
     out = best.join(traced, "read_id")
+    opened, extended = alignment.gap_counts(F.col("cigar"))
     return out.select(
-        "read_id", "ref_id", (F.col("begin") + F.col("text_begin")).cast("long").alias("pos"), "rc", "score", "sec_score", "cigar",
+        "read_id", "ref_id", (F.col("begin") + F.col("text_begin")).cast("long").alias("pos"), "rc", "score", "sec_score", "cigar", "nm", "md",
+        (F.col("nm") - opened - extended).alias("xm"), opened.alias("xo"), extended.alias("xg"),
         mq.mapq(p.scoring, F.col("score"), F.col("sec_score"), F.length("pattern")).alias("mapq"),
     )
 
@@ -89,7 +102,7 @@ def map_reads(reads: DataFrame, reference: DataFrame, p: Mapper = Mapper()) -> D
 def exact_hits(reads: DataFrame, reference: DataFrame, size: int) -> DataFrame:
     """read_id, rc, ref_id, pos of whole-read matches of reads of one size."""
     grams = seeds.qgrams(reference.select(F.col("ref_id").alias("string_id"), "seq"), size)
-    return both_strands(reads).join(grams, F.col("seq") == F.col("gram")).select("read_id", "rc", F.col("string_id").alias("ref_id"), "pos")
+    return grams.join(joins.small_side(both_strands(reads)), F.col("seq") == F.col("gram")).select("read_id", "rc", F.col("string_id").alias("ref_id"), "pos")
 
 
 def approximate_seeds(reads: DataFrame, reference: DataFrame, size: int, interval: int) -> DataFrame:
@@ -104,9 +117,7 @@ def approximate_seeds(reads: DataFrame, reference: DataFrame, size: int, interva
     halves = lambda c: F.array(F.struct(F.lit(0).alias("half"), F.substring(c, 1, half).alias("key")), F.struct(F.lit(1).alias("half"), F.substring(c, half + 1, size - half).alias("key")))
     a = q.select("*", F.inline(halves("seed")))
     b = r.select("*", F.inline(halves("gram")))
-    from .joins import hamming
-
-    pairs = a.join(b, ["half", "key"]).withColumn("mismatches", hamming(F.col("seed"), F.col("gram"))).filter("mismatches <= 1")
+    pairs = b.join(joins.small_side(a), ["half", "key"]).withColumn("mismatches", joins.hamming(F.col("seed"), F.col("gram"))).filter("mismatches <= 1")
     return pairs.filter("mismatches = 1 or half = 0").select("string_id.read_id", "string_id.rc", "begin", "ref_id", "pos", "mismatches")
 
 

@@ -47,10 +47,33 @@ def extract(strings: DataFrame, coords: DataFrame) -> DataFrame:
     return coords.join(strings, "string_id").select(*coords.columns, codecs.infix(F.col("seq"), F.col("begin"), F.col("end")).alias("infix"))
 
 
+STRETCH = 64  #: symbols by which long sequences are cut before grams are taken
+
+
+def stretches(strings: DataFrame, size: int, more: int = 0) -> DataFrame:
+    """string_id, begin, stretch: each sequence cut every ``size`` symbols, each cut with ``more`` (size at most) that follow.
+
+    Time is linear in a sequence's length.
+    """
+    if more > size:
+        raise ValueError("a stretch can't reach beyond the next one")
+    parts = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    reach = lambda p: F.transform(p, lambda x, i: F.concat(x, F.coalesce(F.substring(F.get(p, i + 1), 1, more), F.lit(""))))
+    # the parts as a lambda's argument: else the sequence would be cut again for every part
+    rows = strings.select("string_id", F.posexplode(F.element_at(F.transform(F.array(parts), reach if more else lambda p: p), 1)).alias("at", "stretch"))
+    return rows.select("string_id", (F.col("at") * size).alias("begin"), "stretch")
+
+
 def qgrams(strings: DataFrame, q: int, interval: int = 1) -> DataFrame:
-    """string_id, pos, gram: no join, as each sequence gives its own grams."""
-    return strings.select("string_id", "seq", F.explode(uniform_begins(F.length("seq"), q, interval)).alias("pos")).select(
-        "string_id", "pos", F.expr(f"substring(seq, pos + 1, {q})").alias("gram")
+    """string_id, pos, gram: no join, as each sequence gives its own grams.
+
+    Grams are taken from stretches, as a place in a string is found by walking from its start.
+    """
+    size = -(-max(STRETCH, q) // interval) * interval  # a multiple, so that places stay multiples
+    rows = stretches(strings, size, q - 1)
+    begins = F.filter(uniform_begins(F.length("stretch"), q, interval), lambda x: x < size)
+    return rows.select("string_id", "begin", "stretch", F.explode(begins).alias("at")).select(
+        "string_id", (F.col("begin") + F.col("at")).alias("pos"), F.expr(f"substring(stretch, at + 1, {q})").alias("gram")
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import harness, relational, scalars, sequence_queries  # noqa: F401  they register their queries
+from . import file_queries, harness, relational, scalars, sequence_queries  # noqa: F401  they register their queries
 
 FLAGSHIP = "qgram_overlap"
 

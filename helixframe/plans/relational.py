@@ -60,14 +60,17 @@ def qgram_diagonals(spark, sf_dir):
     return qgram.diagonals(qgram.hits(_grams(spark, sf_dir), _queries(spark, sf_dir)))
 
 
-@query(f"""WITH {SEQS}, g AS (SELECT * FROM (WITH {grams_sql("x", "seqs", 24, 24)} SELECT * FROM x)), {grams_sql("p", "seqs", 24, 12)},
+@query(f"""WITH {SEQS}, g AS (SELECT * FROM (WITH {grams_sql("x", "seqs", 24, 24)} SELECT * FROM x)), {grams_sql("p", "seqs", 24, 1)},
 h AS (SELECT g.string_id, p.string_id AS query_id, (g.pos - p.pos)::BIGINT AS d FROM g JOIN p USING (gram) WHERE g.string_id <> p.string_id),
 b AS (SELECT string_id, query_id, {_SNAP}::BIGINT AS diag, count(*) AS n_hits FROM h GROUP BY ALL)
 SELECT query_id, string_id, diag, n_hits FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_hits DESC, string_id, diag) AS r FROM b) WHERE r = 1""")
 def qgram_overlap(spark, sf_dir):
-    """Each document's best diagonal in another document."""
+    """Each document's best diagonal in another document.
+
+    One side's grams are taken at every place, so shared passages of 47 symbols meet at any offset.
+    """
     s = sequences(spark, sf_dir)
-    pairs = qgram.hits(seeds.qgrams(s, 24, 24), seeds.qgrams(s, 24, 12)).filter("string_id != query_id")
+    pairs = qgram.hits(seeds.qgrams(s, 24, 24), seeds.qgrams(s, 24)).filter("string_id != query_id")
     best = Window.partitionBy("query_id").orderBy(F.desc("n_hits"), "string_id", "diag")
     return qgram.diagonals(pairs).withColumn("r", F.row_number().over(best)).filter("r = 1").select("query_id", "string_id", "diag", "n_hits")
 

@@ -172,7 +172,7 @@ def vcf(spark: SparkSession, path: str) -> DataFrame:
     """chrom, start, stop, ref, alt, qual: a row for each alternative.
 
     Text from # on is a comment; lines need 7 fields. stop is pos + length of ref, or INFO's
-    END. An alternative of . is the reference itself; a quality that is no number is null.
+    END. An alternative of . is the reference itself; a quality that is no number is 255.
     """
     line = F.regexp_replace("value", "#.*$", "")
     f = F.split(line, "\t")
@@ -182,7 +182,7 @@ def vcf(spark: SparkSession, path: str) -> DataFrame:
     ref = F.col("f")[3]
     return rows.select(
         F.col("f")[0].alias("chrom"), start.alias("start"), F.when(end != "", end.cast("long")).otherwise(start + F.length(ref)).alias("stop"), ref.alias("ref"),
-        F.explode(F.split(F.col("f")[4], ",")).alias("alt"), F.expr("try_cast(f[5] as double)").cast("smallint").alias("qual"),
+        F.explode(F.split(F.col("f")[4], ",")).alias("alt"), F.coalesce(F.expr("try_cast(f[5] as double)").cast("smallint"), F.lit(255).cast("smallint")).alias("qual"),
     ).withColumn("alt", F.when(F.col("alt") == ".", F.col("ref")).otherwise(F.col("alt")))
 
 

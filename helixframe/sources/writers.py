@@ -1,15 +1,19 @@
 """Writers of sequence, alignment and index files.
 
 Text formats are projections to one string column, written by Spark. Binary files are built
-as values (a row a file) and written with write_binary where executors share the folder.
+as values; single files are put together from parts through Spark's file systems, piece by
+piece, so any store that Spark knows will do.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .readers import CIGAR, SYMBOLS
 
@@ -28,18 +32,67 @@ def sam_lines(records: DataFrame) -> DataFrame:
     return records.select(F.concat_ws("\t", *fields, *tags).alias("value"))
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def merge_parts(spark: SparkSession, folder: str, target: str) -> None:
+    """One file of a folder's parts, in their order; bytes are copied by the file system, none stays in memory."""
+    fs, source = _file_system(spark, folder)
+    parts = sorted(str(s.getPath()) for s in fs.listStatus(source) if s.getPath().getName().startswith("part-"))
+    to, place = _file_system(spark, target)
+    out = to.create(place, True)
+    for p in parts:
+        data = fs.open(spark._jvm.org.apache.hadoop.fs.Path(p))
+        spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(data, out, 1 << 16, False)
+        data.close()
+    out.close()
+
+
 def write_sam(records: DataFrame, references: DataFrame, path: str) -> None:
-    """A folder of SAM parts, the header in the first."""
+    """One SAM file: the header, then all records."""
     spark = records.sparkSession
+    folder = f"{path}.parts"
     head = spark.createDataFrame([(x,) for x in sam_header_lines(references)], "value string").coalesce(1)
-    head.write.mode("overwrite").text(f"{path}/part=header")
-    sam_lines(records).write.mode("overwrite").text(f"{path}/part=records")
+    head.union(sam_lines(records)).write.mode("overwrite").text(folder)  # parts keep the union's order
+    merge_parts(spark, folder, path)
+    fs, place = _file_system(spark, folder)
+    fs.delete(place, True)
+
+
+def write_bam(records: DataFrame, references: DataFrame, path: str) -> None:
+    """One BAM file of records with the SAM columns; executors pack and compress, the driver passes on a block of records at a time."""
+    spark = records.sparkSession
+    refs = [(r.name, int(r.len)) for r in references.orderBy("name").toLocalIterator()]  # the header's lines
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 1000):
+                yield pa.record_batch([pa.array([bgzf(record_bytes(refs, b.slice(k, 1000).to_pylist()), False)], pa.binary())], ["data"])
+
+    fs, place = _file_system(spark, path)
+    out = fs.create(place, True)
+    out.write(bytearray(bgzf(header_bytes(sam_header_lines(references), refs), False)))
+    for r in records.mapInArrow(run, "data binary").toLocalIterator():
+        out.write(bytearray(r.data))
+    out.write(bytearray(bgzf(b"")))
+    out.close()
+
 
+def write_alignments(records: DataFrame, references: DataFrame, path: str) -> None:
+    """SAM or BAM by the path's suffix (others: SAM), Parquet for .dbg."""
+    end = path.lower().rsplit(".", 1)[-1]
+    if end == "dbg":
+        records.write.mode("overwrite").parquet(path)
+    else:
+        {"bam": write_bam}.get(end, write_sam)(records, references, path)
 
-def bgzf(data: bytes) -> bytes:
+
+def bgzf(data: bytes, end: bool = True) -> bytes:
     """Blocked gzip: blocks of at most 65,280 bytes, each with its size, and the empty end block."""
     out = []
-    for i in [*range(0, len(data), 65280), None]:
+    for i in [*range(0, len(data), 65280), *([None] if end else [])]:
         part = b"" if i is None else data[i : i + 65280]
         c = zlib.compressobj(6, zlib.DEFLATED, -15)
         body = c.compress(part) + c.flush()
@@ -47,16 +100,17 @@ def bgzf(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def bam_bytes(header: list[str], references: list[tuple[str, int]], records: list[dict]) -> bytes:
-    """A BAM file of records (dicts with the SAM columns)."""
+def header_bytes(header: list[str], references: list[tuple[str, int]]) -> bytes:
     text = "\n".join(header).encode() + b"\n"
     out = [b"BAM\1", struct.pack("<i", len(text)), text, struct.pack("<i", len(references))]
-    number = {"*": -1}
-    for k, (name, size) in enumerate(references):
-        number[name] = k
+    for name, size in references:
         out.append(struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", size))
-    import re
+    return b"".join(out)
+
 
+def record_bytes(references: list[tuple[str, int]], records: list[dict]) -> bytes:
+    """BAM records of dicts with the SAM columns."""
+    number, out = {"*": -1} | {name: k for k, (name, _) in enumerate(references)}, []
     for r in records:
         ops = [int(n) << 4 | CIGAR.index(o) for n, o in re.findall(r"(\d+)(\D)", r["cigar"])]
         seq = "" if r["seq"] == "*" else r["seq"]
@@ -67,7 +121,12 @@ def bam_bytes(header: list[str], references: list[tuple[str, int]], records: lis
         body = struct.pack("<iiBBHHHiiii", number[r["ref"]], r["pos"] - 1, len(name), r["mapq"], 4680, len(ops), r["flag"], len(seq), number[r["mate_ref"]], r["mate_pos"] - 1, r["tlen"])
         body += name + struct.pack(f"<{len(ops)}I", *ops) + packed + quals
         out.append(struct.pack("<i", len(body)) + body)
-    return bgzf(b"".join(out))
+    return b"".join(out)
+
+
+def bam_bytes(header: list[str], references: list[tuple[str, int]], records: list[dict]) -> bytes:
+    """A BAM file of records (dicts with the SAM columns)."""
+    return bgzf(header_bytes(header, references) + record_bytes(references, records))
 
 
 def pac_bytes(seq: str) -> bytes:

@@ -19,9 +19,9 @@ def tables(spark: SparkSession, folder: str, schema: str, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def qgram_counts(strings: DataFrame, q: int) -> DataFrame:
+def qgram_counts(strings: DataFrame, q: int, interval: int = 1) -> DataFrame:
     """gram, n: running counts (output mode update or complete)."""
-    return seeds.qgrams(strings, q).groupBy("gram").agg(F.count("*").alias("n"))
+    return seeds.qgrams(strings, q, interval).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 def best_so_far(scores: DataFrame) -> DataFrame:

@@ -222,7 +222,7 @@ def test_bam(spark, tmp_path):
 def test_vcf(spark, tmp_path):
     (tmp_path / "x.vcf").write_text("##v\n#CHROM\n1\t10\t.\tAC\tG,T\t50\tPASS\tX=1\n1\t20\t.\tA\t.\t.\tPASS\tEND=99;Y=2\n2\t5\t.\tA\tC\tbad\tPASS\n3\t1\t.\tA\n")
     got = sorted(tuple(r) for r in readers.vcf(spark, str(tmp_path / "x.vcf")).collect())
-    assert [(r[0], r[1], r[2], r[3], r[4], r[5]) for r in got] == [("1", 10, 12, "AC", "G", 50), ("1", 10, 12, "AC", "T", 50), ("1", 20, 99, "A", "A", None), ("2", 5, 6, "A", "C", None)]
+    assert [(r[0], r[1], r[2], r[3], r[4], r[5]) for r in got] == [("1", 10, 12, "AC", "G", 50), ("1", 10, 12, "AC", "T", 50), ("1", 20, 99, "A", "A", 255), ("2", 5, 6, "A", "C", 255)]
 
 
 def test_pac_and_bwt_files(spark, tmp_path):
@@ -328,3 +328,64 @@ def test_report(spark):
 
     page = stats.report_html("a < b", {"t": spark.range(3).toDF("x")}, most=2)
     assert "a &lt; b" in page and "<td>1</td>" in page and "<td>2</td>" not in page and "first 2 rows" in page
+
+
+def test_qgrams_of_a_long_sequence_take_linear_time(spark):
+    """Grams from stretches are the grams of the whole; 200,000 symbols take seconds, not minutes."""
+    import time
+
+    rng = random.Random(5)
+    seq = "".join(rng.choice("ACGT") for _ in range(200_000))
+    small = spark.createDataFrame([(0, seq[:1000]), (1, "ACG"), (2, ""), (3, None), (4, seq[:64]), (5, seq[:70])], "string_id int, seq string")
+    for q, interval in ((3, 1), (20, 7), (64, 1), (100, 33), (5, 200)):
+        want = sorted((i, p, s[p : p + q]) for i, s in ((0, seq[:1000]), (1, "ACG"), (2, ""), (4, seq[:64]), (5, seq[:70])) for p in range(0, len(s) - q + 1, interval))
+        assert sorted(tuple(r) for r in seeds.qgrams(small, q, interval).collect()) == want
+    start = time.time()
+    assert seeds.qgrams(spark.createDataFrame([(0, seq)], "string_id int, seq string"), 20).filter("length(gram) = 20").count() == len(seq) - 19
+    assert time.time() - start < 20
+
+
+def test_maximal_matches_against_the_suffix_array(spark):
+    rng = random.Random(6)
+    refs = ["".join(rng.choice("ACGT") for _ in range(200)) for _ in range(3)]
+    patterns = [refs[0][20:80] + "N" + refs[1][5:50], refs[2][:40] + refs[0][100:160], "".join(rng.choice("ACGT") for _ in range(90)), "", refs[1]]
+    p = spark.createDataFrame(list(enumerate(patterns)), "pattern_id long, pattern string")
+    r = spark.createDataFrame(list(enumerate(refs)), "ref_id long, seq string")
+    got = sorted(tuple(x) for x in fulltext.maximal_matches(p, r, 8).collect())
+    assert got == sorted(tuple(x) for x in fulltext.find_mems(p, "N".join(refs), min_span=8).collect()) and got
+    at = p.withColumn("at", F.lit(10))
+    index = fulltext.SuffixArray("N".join(refs))
+    assert sorted(tuple(x) for x in fulltext.threshold_matches(at, "N".join(refs)).collect()) == sorted((i, 10, *m) for i, s in enumerate(patterns) for m in fulltext.threshold_mems(index, s, 10))
+
+
+def test_tags_of_mapped_reads(spark):
+    rng = random.Random(7)
+    ref = "".join(rng.choice("ACGT") for _ in range(3000))
+    read = ref[1000:1060] + ("A" if ref[1060] != "A" else "C") + ref[1061:1100] + ref[1102:1150]
+    got = mapper.map_reads(spark.createDataFrame([(1, read)], "read_id long, seq string"), spark.createDataFrame([(0, ref)], "ref_id long, seq string")).first()
+    assert (got.pos, got.nm, got.xm, got.xo, got.xg) == (1000, 3, 1, 1, 1) and got.md.startswith(f"60{ref[1060]}")
+
+
+def test_one_file_sinks(spark, tmp_path):
+    """A SAM and a BAM file of many partitions are one valid file each, by the path's suffix."""
+    rows = spark.range(2500).select(
+        F.concat(F.lit("r"), "id").alias("name"), F.lit(0).alias("flag"), F.lit("c1").alias("ref"), (F.col("id") + 1).alias("pos"), F.lit(9).alias("mapq"), F.lit("4M").alias("cigar"), F.lit("*").alias("mate_ref"),
+        F.lit(0).cast("long").alias("mate_pos"), F.lit(0).cast("long").alias("tlen"), F.lit("ACGT").alias("seq"), F.lit("IIII").alias("quals"),
+    )
+    refs = spark.createDataFrame([("c1", 9000)], "name string, len int")
+    for end in ("sam", "bam"):
+        path = str(tmp_path / f"x.{end}")
+        writers.write_alignments(rows.repartition(4), refs, path)
+        assert os.path.isfile(path)
+        back = (readers.sam_records if end == "sam" else readers.bam_records)(spark, path)
+        assert sorted(r.pos for r in back.collect()) == list(range(1, 2501))
+    text = (tmp_path / "x.sam").read_text().splitlines()
+    assert text[0].startswith("@HD") and sum(x.startswith("@") for x in text) == 3 and not any(x.startswith("@") for x in text[3:])
+
+
+def test_mapping_quality_forms(spark):
+    """Minimum scores are cut to integers; the table's perfect row is read by either rule."""
+    df = spark.createDataFrame([(-43, None, 102), (0, -10, 100), (-10, -40, 100)], "best int, second int, n int")
+    args = F.col("best"), F.col("second"), F.col("n")
+    got = df.select(mapq.mapq(mapq.END_TO_END, *args).alias("v2"), mapq.mapq_v3(mapq.END_TO_END, *args).alias("c"), mapq.mapq_v3(mapq.END_TO_END, *args, compat=False).alias("s")).collect()
+    assert [r.v2 for r in got][0] == 0 and got[1].c == mapq.V3_TWO_PERFECT[0] and got[1].s == mapq.V3_TWO_PERFECT[2] and got[2].c == got[2].s
