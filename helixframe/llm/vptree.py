@@ -2,10 +2,11 @@
 
 Largest inner product becomes nearest distance by one more coordinate, sqrt(M^2 - |v|^2) with
 the largest norm M over all vectors (0 for queries). Vectors are dealt to shards of about
-``shard_rows`` by a hash; each shard's tree is searched by all queries, in blocks of
-``query_rows``, so that no task holds more than one shard and one block. Subtrees are skipped
-by the triangle inequality with the current k-th distance times ``factor``: 1 is exact, less
-skips more.
+``shard_rows`` by a hash; each shard's tree is built once, by the task that reads the shard,
+and all queries stream through it in blocks of ``query_rows``, so that no task holds more than
+one shard and one block. Subtrees are skipped by the triangle inequality with the current
+k-th distance times ``factor``: 1 is exact, less skips more. A query's first bound on that
+distance is the k-th among a bounded sample of vectors.
 
 Equal vectors are rivals only by vec_id: of each group the k+1 least ids can be among the
 nearest of any query, so the rest leave before the search (exactly; by a group limit that
@@ -14,10 +15,11 @@ works before the shuffle), and equal queries are searched once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import cut, stored, table
@@ -29,6 +31,7 @@ class Search:
     factor: float = 0.7
     shard_rows: int = 8192
     query_rows: int = 4096
+    sample: int = 2048  #: vectors that give the first bounds
     leaf: int = 128
     seed: int = 7
 
@@ -60,8 +63,12 @@ class VPTree:
     def distance(self, q: np.ndarray, idx: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + self.square[idx] - 2 * (q @ self.points[idx].T)))
 
-    def search(self, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and numbers of the k nearest found of each query (inf, -1 where there are fewer)."""
+    def search(self, q: np.ndarray, k: int, factor: float, bound: np.ndarray | float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and numbers of the k nearest found of each query (inf, -1 where there are fewer).
+
+        bound: a distance of each query beyond which nothing is wanted.
+        """
+        bound = np.broadcast_to(bound, len(q))
         far, who = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
 
         def visit(node, rows: np.ndarray) -> None:
@@ -80,7 +87,7 @@ class VPTree:
             near = d < mid
             visit(inner, rows[near])
             visit(outer, rows[~near])
-            reach = factor * far[rows].max(1)
+            reach = factor * np.minimum(far[rows].max(1), bound[rows])
             visit(outer, rows[near & (d + reach >= mid)])
             visit(inner, rows[~near & (d - reach <= mid)])
 
@@ -100,12 +107,35 @@ def valid(vectors: DataFrame) -> DataFrame:
     return v.filter(F.size("embedding") == (most.n if most else 0))
 
 
+def _vectors(column: pa.Array) -> np.ndarray:
+    """A matrix of a column of lists of one length."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks() if column.num_chunks else pa.array([], column.type)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _found(tree: VPTree, v: np.ndarray, ids: np.ndarray, q: np.ndarray, asked: np.ndarray, bound: np.ndarray, k: int, factor: float) -> pa.RecordBatch:
+    """q, vec_id, score: the k+1 best of a shard for each query of a block, by exact score, ties to the smaller id."""
+    m = min(len(v), k + 1 + 8)  # a few more, as these distances are rounded
+    _, who = tree.search(np.column_stack([q, np.zeros(len(q))]), m, factor, bound)
+    row, col = np.nonzero(who >= 0)
+    who = who[row, col]
+    score = np.einsum("nd,nd->n", q[row], v[who])
+    order = np.lexsort((ids[who], -score, row))
+    row, who, score = row[order], who[order], score[order]
+    first = np.searchsorted(row, np.arange(len(q)))
+    keep = np.arange(len(row)) - first[row] <= k
+    return pa.record_batch([pa.array(asked[row[keep]]), pa.array(ids[who[keep]]), pa.array(score[keep])], ["q", "vec_id", "score"])
+
+
 def nearest(vectors: DataFrame, is_query, p: Search = Search()) -> DataFrame:
     """query_id, rank, vec_id, score: the p.k nearest found of each query, nearest first, ties to the smaller id.
 
     Candidates of a query are all rows but those with its own vec_id. A vec_id that repeats
     counts once, with the least of its vectors. An empty table, or one without a vector that
-    takes part, gives an empty result; columns beyond vec_id and embedding are ignored.
+    takes part, gives an empty result; rows whose vec_id is null take no part; columns beyond
+    vec_id and embedding are ignored.
     """
     k = p.k
     rows = stored(valid(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
@@ -114,30 +144,52 @@ def nearest(vectors: DataFrame, is_query, p: Search = Search()) -> DataFrame:
     order = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     rivals = cut(rows.withColumn("r", order).filter(F.col("r") <= k + 1).drop("r"))
     asked = rows.filter(is_query)
-    key = F.xxhash64("embedding")
     queries = cut(asked.groupBy("embedding").agg(F.min("vec_id").alias("q")))
     shards = max(1, -(-rivals.count() // p.shard_rows))
-    blocks = max(1, -(-queries.count() // p.query_rows))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rivals.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"))
-    right = queries.select("q", "embedding", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"))
-
-    def search(key, points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(points) or not len(asked):
-            return empty
-        points = points.sort_values("vec_id")
-        v, ids, q = np.stack(points["embedding"].to_list()).astype(float), points["vec_id"].to_numpy(), np.stack(asked["embedding"].to_list()).astype(float)
-        extra = np.sqrt(np.maximum(0, largest**2 - (v**2).sum(1)))
-        tree = VPTree(np.column_stack([v, extra]), p.leaf, p.seed)
-        m = min(len(v), k + 1 + 8)  # a few more, as these distances are rounded
-        _, who = tree.search(np.column_stack([q, np.zeros(len(q))]), m, p.factor)
-        row, col = np.nonzero(who >= 0)
-        who = who[row, col]
-        score = np.einsum("nd,nd->n", q[row], v[who])
-        return pd.DataFrame({"q": asked["q"].to_numpy()[row], "vec_id": ids[who], "score": score})
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, "q long, vec_id long, score double")
+    sample = _vectors(rivals.orderBy(F.xxhash64("vec_id", F.lit(p.seed)), "vec_id").limit(p.sample).select("embedding").toArrow().combine_chunks().column("embedding"))
+    sent = vectors.sparkSession.sparkContext.broadcast(sample)
+
+    def first_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = sent.value
+        for b in batches:
+            for i in range(0, b.num_rows, p.query_rows):
+                part = b.slice(i, p.query_rows)
+                q = _vectors(part.column("embedding"))
+                bound = np.full(len(q), np.inf)
+                if len(v) > k + 1:
+                    least = np.partition(q @ v.T, len(v) - k - 1, axis=1)[:, len(v) - k - 1]  # of the k+1 best, as one may be the query itself
+                    bound = np.sqrt(np.maximum(0, (q**2).sum(1) + largest**2 - 2 * least)) * (1 + 1e-9) + 1e-9
+                yield pa.record_batch([part.column("q"), part.column("embedding"), pa.array(bound)], ["id", "embedding", "bound"])
+
+    asked_rows = cut(queries.mapInArrow(first_bounds, "id long, embedding array<double>, bound double"))
+    points = rivals.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), F.col("vec_id").alias("id"), "embedding", F.lit(None).cast("double").alias("bound"))
+    asks = asked_rows.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "id", "embedding", "bound")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+        tree, now = None, None
+        for b in batches:
+            shard, query = b.column("shard").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (query[1:] != query[:-1])) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(shard)], strict=True):
+                if shard[i] != now:
+                    held, ids, tree, now = [], [], None, shard[i]
+                if not query[i]:
+                    held.append(_vectors(b.column("embedding").slice(i, j - i)))
+                    ids.append(b.column("id").slice(i, j - i).to_numpy())
+                    continue
+                if not held:  # no vector fell to this shard
+                    continue
+                if tree is None:
+                    v, who = np.concatenate(held), np.concatenate(ids)
+                    tree = VPTree(np.column_stack([v, np.sqrt(np.maximum(0, largest**2 - (v**2).sum(1)))]), p.leaf, p.seed)
+                for x in range(i, j, p.query_rows):
+                    part = b.slice(x, min(p.query_rows, j - x))
+                    yield _found(tree, v, who, _vectors(part.column("embedding")), part.column("id").to_numpy(), part.column("bound").to_numpy(), k, p.factor)
+
+    both = points.union(asks).repartition("shard").sortWithinPartitions("shard", "asks", "id")
+    found = both.mapInArrow(search, "q long, vec_id long, score double")
     by = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     top = cut(found.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k + 1))
     # every query takes the list of its vector, without itself

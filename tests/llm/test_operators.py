@@ -235,6 +235,12 @@ def test_vptree(spark):
     p = vptree.Search(k=5, factor=1.0, shard_rows=100, query_rows=10, leaf=8)
     got = [(r.query_id, r.rank, r.vec_id) for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, p).orderBy("query_id", "rank").collect()]
     assert got == list(brute_nearest(rows, 5, lambda i: i % 20 == 0))
+    for other in (vptree.Search(k=5, factor=1.0, shard_rows=40, query_rows=2, leaf=4, sample=30), vptree.Search(k=5, factor=1.0, sample=0)):
+        got = [(r.query_id, r.rank, r.vec_id) for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, other).orderBy("query_id", "rank").collect()]
+        assert got == list(brute_nearest(rows, 5, lambda i: i % 20 == 0))
+    twice = df.union(df.filter("vec_id < 40")).union(df.limit(3).withColumn("vec_id", F.lit(None).cast("long")))
+    got = [(r.query_id, r.rank, r.vec_id) for r in vptree.nearest(twice, F.col("vec_id") % 20 == 0, p).orderBy("query_id", "rank").collect()]
+    assert got == list(brute_nearest(rows, 5, lambda i: i % 20 == 0))
     assert vptree.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     few = vptree.nearest(df.filter("vec_id < 3"), F.lit(True), p)
     assert few.count() == 6
