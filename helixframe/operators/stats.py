@@ -76,3 +76,48 @@ def report_html(title: str, tables: dict[str, DataFrame], most: int = 1000) -> s
         if len(rows) > most:
             out.append(f"<p>The first {most} rows.</p>")
     return "\n".join([*out, "</body></html>"])
+
+
+#: metric: (whether higher values are better, whether its own histogram has logarithmic bins). Fixed values.
+METRICS = {
+    "score": (True, True), "mapq": (True, True), "mapped": (True, True), "pos": (True, True),
+    "ed": (False, False), "subs": (False, False), "ins": (False, False), "dels": (False, False), "mms": (False, False),
+}
+
+
+def difference_statistics(pairs: DataFrame, metrics: dict[str, tuple[bool, bool]] | None = None) -> DataFrame:
+    """metric, side, kind, x, bin, n, n_distant, n_discordant: all histograms of two compared sets, in one pass.
+
+    pairs: as compare() gives them, both sides present, with l_ and r_ of every metric and of
+    mapq, and length_bin. kind: value, value_by_length and value_by_mapq (of every row of a
+    side); diff, diff_by_length, diff_by_mapq (its own), diff_by_other_mapq and diff_by_value
+    (of the rows where the side is not worse, by how much). x is the second bin, or null.
+    """
+    log, no = numbers.log_bin, F.lit(None).cast("int")
+    out = []
+    for name, (higher, by_log) in (METRICS if metrics is None else metrics).items():
+        for side, other in (("l", "r"), ("r", "l")):
+            own, its = F.col(f"{side}_{name}").cast("long"), F.col(f"{other}_{name}").cast("long")
+            better = own - its if higher else its - own
+            worth = its if higher else own  # the value that differences are set against
+            mapq, other_mapq = log(F.col(f"{side}_mapq").cast("long")), log(F.col(f"{other}_mapq").cast("long"))
+            row = lambda kind, x, bin, ok: F.struct(F.lit(name).alias("metric"), F.lit(side).alias("side"), F.lit(kind).alias("kind"), x.cast("int").alias("x"), bin.cast("int").alias("bin"), ok.alias("ok"))  # noqa: E731, B023
+            every, good = F.lit(True), better >= 0
+            out += [
+                row("value", no, log(own) if by_log else own, every), row("value_by_length", F.col("length_bin"), log(own), every), row("value_by_mapq", mapq, log(own), every),
+                row("diff", no, log(better) if by_log else better, good), row("diff_by_length", F.col("length_bin"), log(better), good), row("diff_by_mapq", mapq, log(better), good),
+                row("diff_by_other_mapq", other_mapq, log(better), good), row("diff_by_value", log(worth), log(better), good),
+            ]
+    rows = pairs.select("distant", "discordant", F.explode(F.array(*out)).alias("s")).filter("s.ok")
+    return rows.groupBy("s.metric", "s.side", "s.kind", "s.x", "s.bin").agg(F.count("*").alias("n"), F.count_if("distant").alias("n_distant"), F.count_if("discordant").alias("n_discordant"))
+
+
+def stage_statistics(stages: dict[str, DataFrame], key: str) -> DataFrame:
+    """stage, rows, keys, most: of each stage of a pipeline its rows, its distinct keys, and the most rows of a key."""
+    out = None
+    for name, df in stages.items():
+        per = df.groupBy(key).agg(F.count("*").alias("n"))
+        one = per.agg(F.lit(name).alias("stage"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("keys"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+        one = one.select("stage", "rows", "keys", "most")
+        out = one if out is None else out.union(one)
+    return out

@@ -51,11 +51,16 @@ def prefix_doubling(symbols: DataFrame, rounds: int | None = None) -> DataFrame:
 
 
 def _shared(spark) -> None:
-    """A checkpoint folder: the session's; a new one only where none is set (one machine)."""
+    """A checkpoint folder: the session's; a new one only for a local session without."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="helixframe-"))
+            path = tempfile.mkdtemp(prefix="helixframe-")
+        spark.sparkContext.setCheckpointDir(path)
 
 
 def primary(sa: DataFrame) -> DataFrame:
@@ -121,3 +126,52 @@ def ambiguity_runs(strings: DataFrame) -> DataFrame:
     c = strings.filter("seq != ''").select("string_id", F.posexplode(F.split("seq", "")).alias("pos", "symbol")).filter(~F.col("symbol").isin("A", "C", "G", "T"))
     run = F.col("pos") - F.row_number().over(Window.partitionBy("string_id", "symbol").orderBy("pos"))
     return c.withColumn("run", run).groupBy("string_id", "symbol", "run").agg(F.min("pos").alias("begin"), (F.max("pos") + 1).alias("end")).drop("run")
+
+
+def match_any(sa: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, first, last: inclusive rank ranges of patterns of any lengths (few distinct ones, which are counted first).
+
+    Patterns that are empty or have other symbols than the text's match nothing.
+    """
+    lengths = [r.n for r in patterns.select(F.length("pattern").alias("n")).distinct().filter("n > 0").collect()]  # one row a length
+    if not lengths:
+        return sa.select(F.lit("").alias("pattern"), F.col("rank").alias("first"), F.col("rank").alias("last")).limit(0)
+    heads = sa.select("rank", "suffix", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")).filter(F.length("suffix") >= F.col("n"))
+    keyed = heads.select("rank", F.expr("left(suffix, n)").alias("pattern")).join(patterns.select("pattern").distinct(), "pattern", "left_semi")
+    return keyed.groupBy("pattern").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
+
+
+def match_reverse(reversed_sa: DataFrame, patterns: DataFrame) -> DataFrame:
+    """As match_any(), for patterns searched from their last symbol in the order of the reversed strings (reversed_strings())."""
+    turned = patterns.select(F.col("pattern").alias("given"), F.reverse("pattern").alias("pattern")).distinct()
+    return match_any(reversed_sa, turned).join(turned, "pattern").select(F.col("given").alias("pattern"), "first", "last")
+
+
+def reversed_strings(strings: DataFrame) -> DataFrame:
+    return strings.withColumn("seq", F.reverse("seq"))
+
+
+def save_index(sa: DataFrame, path: str, sample: int = 16) -> None:
+    """An index as Parquet tables: the BWT by rank, sampled places, and counts of symbols."""
+    sa.select("rank", "string_id", "bwt", (F.col("pos") == 0).alias("whole")).write.parquet(f"{path}/bwt")
+    sampled(sa, sample).write.parquet(f"{path}/sa")
+    counts(sa).write.parquet(f"{path}/counts")
+
+
+def load_index(spark, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("bwt", "sa", "counts")}
+
+
+def dictionary_trie(strings: DataFrame, depth: int) -> DataFrame:
+    """depth, prefix, begin, end, is_leaf, children: the nodes of the trie over the sorted distinct strings, as ranges of them.
+
+    A leaf is a node of one string. Ranks in the dictionary are running sums over prefixes, in
+    two steps.
+    """
+    from .qgram import running_sum
+
+    s = strings.select("seq").distinct()
+    ranked = running_sum(s.withColumn("one", F.lit(1).cast("long")), "seq", "one", "rank")
+    nodes = ranked.select("seq", "rank", F.explode(F.sequence(F.lit(0), F.least(F.length("seq"), F.lit(depth)))).alias("depth")).withColumn("prefix", F.expr("left(seq, depth)"))
+    child = F.expr("if(length(seq) > depth, substring(seq, depth + 1, 1), null)")
+    return nodes.groupBy("depth", "prefix").agg(F.min("rank").alias("begin"), (F.max("rank") + 1).alias("end"), (F.count("*") == 1).alias("is_leaf"), F.count_distinct(child).alias("children"))

@@ -157,6 +157,57 @@ def alignment_diff(spark, sf_dir):
     return stats.difference_histograms(j, {"mapq": F.col("l_mapq") - F.col("r_mapq"), "ed": F.col("r_ed") - F.col("l_ed")})
 
 
+def _side_sql(n: int) -> str:
+    return f"""SELECT l_orderkey AS read_id, max(l_partkey) AS pos, max(l_suppkey % 7) AS ref, max(l_quantity)::INT AS mapq, max(round(l_discount * 100))::INT AS ed, bool_or(l_returnflag = 'R') AS rc, -max(l_quantity)::INT AS score,
+max(l_extendedprice)::INT AS mapped, max(l_suppkey % 5)::INT AS subs, max(l_partkey % 3)::INT AS ins, max(l_partkey % 4)::INT AS dels, max(l_orderkey % 9)::INT AS mms, max(l_linenumber * 30)::INT AS len FROM lineitem WHERE l_linenumber = {n} GROUP BY l_orderkey"""
+
+
+def _log(x: str) -> str:
+    return f"(CASE WHEN {x} = 0 THEN 0 ELSE sign({x}) * (1 + floor(log2(abs({x})))) END)::INT"
+
+
+def _statistics_sql() -> str:
+    parts = []
+    for name, (higher, by_log) in stats.METRICS.items():
+        for s, o in (("l", "r"), ("r", "l")):
+            own, its = f"{s}_{name}", f"{o}_{name}"
+            d, worth = f"({own} - {its})" if higher else f"({its} - {own})", its if higher else own
+            mine, other = _log(f"{s}_mapq"), _log(f"{o}_mapq")
+            each = [
+                ("value", "NULL", _log(own) if by_log else own, "true"), ("value_by_length", "length_bin", _log(own), "true"), ("value_by_mapq", mine, _log(own), "true"),
+                ("diff", "NULL", _log(d) if by_log else d, f"{d} >= 0"), ("diff_by_length", "length_bin", _log(d), f"{d} >= 0"), ("diff_by_mapq", mine, _log(d), f"{d} >= 0"),
+                ("diff_by_other_mapq", other, _log(d), f"{d} >= 0"), ("diff_by_value", _log(worth), _log(d), f"{d} >= 0"),
+            ]
+            parts += [f"SELECT '{name}' AS metric, '{s}' AS side, '{k}' AS kind, {x}::INT AS x, {b}::INT AS bin, distant, discordant FROM j WHERE {ok}" for k, x, b, ok in each]
+    both = ", ".join(f"{s}.{c} AS {s}_{c}" for s in "lr" for c in [*stats.METRICS])
+    return f"""WITH l AS ({_side_sql(1)}), r AS ({_side_sql(2)}), j AS MATERIALIZED (SELECT {both}, (l.len // 50)::INT AS length_bin, l.ref <> r.ref OR abs(l.pos - r.pos) > 100 AS distant, l.rc <> r.rc AS discordant FROM l JOIN r USING (read_id))
+SELECT metric, side, kind, x, bin, count(*) AS n, count(*) FILTER (distant) AS n_distant, count(*) FILTER (discordant) AS n_discordant FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"""
+
+
+@query(_statistics_sql())
+def difference_statistics(spark, sf_dir):
+    """All histograms of two alignment sets, of nine metrics, for all, distant and discordant reads."""
+
+    def side(n: int):
+        c = F.col
+        return read(spark, sf_dir, "lineitem").filter(c("l_linenumber") == n).groupBy(c("l_orderkey").alias("read_id")).agg(
+            F.max("l_partkey").alias("pos"), F.max(c("l_suppkey") % 7).alias("ref"), F.max("l_quantity").cast("int").alias("mapq"), F.max(F.round(c("l_discount") * 100)).cast("int").alias("ed"),
+            F.bool_or(c("l_returnflag") == "R").alias("rc"), (-F.max("l_quantity")).cast("int").alias("score"), F.round(F.max("l_extendedprice")).cast("int").alias("mapped"), F.max(c("l_suppkey") % 5).cast("int").alias("subs"),
+            F.max(c("l_partkey") % 3).cast("int").alias("ins"), F.max(c("l_partkey") % 4).cast("int").alias("dels"), F.max(c("l_orderkey") % 9).cast("int").alias("mms"), F.max(c("l_linenumber") * 30).cast("int").alias("len"),
+        )
+
+    pairs = stats.compare(side(1), side(2), 100).filter("l_pos is not null and r_pos is not null")
+    return stats.difference_statistics(pairs.withColumn("length_bin", F.expr("l_len div 50").cast("int")))
+
+
+@query("""SELECT 'placed' AS stage, count(*) AS rows, count(DISTINCT l_orderkey) AS keys, (SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)) AS most FROM lineitem
+UNION ALL SELECT 'kept', count(*), count(DISTINCT l_orderkey), (SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem WHERE l_discount > 0.05 GROUP BY l_orderkey)) FROM lineitem WHERE l_discount > 0.05""")
+def stage_statistics(spark, sf_dir):
+    """Rows, keys and the largest key of each stage of a pipeline."""
+    rows = read(spark, sf_dir, "lineitem")
+    return stats.stage_statistics({"placed": rows, "kept": rows.filter("l_discount > 0.05")}, "l_orderkey")
+
+
 @query("""WITH m AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), n AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click')
 SELECT m.event_id AS anchor, n.event_id AS opposite FROM m JOIN n ON m.user_id = n.user_id AND n.ts >= m.ts AND n.ts < m.ts + INTERVAL 6 HOUR""")
 def window_join(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from helixframe.functions import bloom, kernels, mapq as mq
 from helixframe.operators import alignment, fulltext, mapper, seeds, suffix
 
+from .file_queries import workspace
 from .harness import BENCH, SEQS, grams_sql, query, read, sequences
 
 _SA = f"""{BENCH}, e AS (SELECT string_id, pos::INT AS pos, substring(seq, (pos + 1)::INT) AS suffix, CASE WHEN pos = 0 THEN '$' ELSE substring(seq, pos::INT, 1) END AS bwt
@@ -65,6 +66,42 @@ def locate(spark, sf_dir):
     return suffix.locate(sa, suffix.match(sa, patterns, 8), 8)
 
 
+_ANY = "p AS (SELECT DISTINCT \"left\"(suffix, n::INT) AS pattern FROM sa, range(3, 12) r(n) WHERE length(suffix) >= n AND pos % n = 0)"
+
+
+@query(f"WITH {_SA}, {_ANY} SELECT pattern, min(rank) AS first, max(rank) AS last FROM sa JOIN p ON starts_with(suffix, pattern) GROUP BY pattern")
+def backward_search_any(spark, sf_dir):
+    """Patterns of lengths 3 to 11."""
+    sa = _sa(spark, sf_dir)
+    patterns = sa.select("suffix", "pos", F.explode(F.sequence(F.lit(3), F.lit(11))).alias("n")).filter("length(suffix) >= n and pos % n = 0").select(F.expr("left(suffix, n)").alias("pattern"))
+    return suffix.match_any(sa, patterns)
+
+
+@query(f"WITH {_SA.replace('seq, unnest', 'reverse(seq) AS seq, unnest')}, p AS (SELECT DISTINCT reverse(substring(suffix, 1, 8)) AS pattern FROM sa WHERE length(suffix) >= 8) SELECT pattern, min(rank) AS first, max(rank) AS last FROM sa JOIN p ON starts_with(suffix, reverse(pattern)) GROUP BY pattern")
+def reverse_search(spark, sf_dir):
+    """Ranges of 8-mers in the order of the reversed strings."""
+    back = suffix.suffix_array(suffix.reversed_strings(_bench(spark, sf_dir)))
+    return suffix.match_reverse(back, seeds.qgrams(_bench(spark, sf_dir), 8).select(F.col("gram").alias("pattern")))
+
+
+@query(f"WITH {_SA} SELECT 'bwt' AS part, bwt AS symbol, rank AS a, string_id AS b FROM sa UNION ALL SELECT 'sa', NULL, rank, pos FROM sa WHERE pos % 16 = 0 UNION ALL SELECT 'counts', bwt, count(*), (sum(count(*)) OVER (ORDER BY bwt) - count(*))::BIGINT FROM sa GROUP BY bwt")
+def index_files(spark, sf_dir):
+    """An index written as tables and loaded again."""
+    path = workspace(spark, "index")
+    suffix.save_index(_sa(spark, sf_dir), path)
+    got = suffix.load_index(spark, path)
+    long = lambda *cols: [F.col(c).cast("long") for c in cols]
+    bwt = got["bwt"].select(F.lit("bwt").alias("part"), F.col("bwt").alias("symbol"), *long("rank", "string_id")).toDF("part", "symbol", "a", "b")
+    sa = got["sa"].select(F.lit("sa"), F.lit(None).cast("string"), *long("rank", "pos"))
+    return bwt.union(sa).union(got["counts"].select(F.lit("counts"), "symbol", *long("n", "before")))
+
+
+@query(f"""WITH {BENCH}, s AS (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS rank FROM (SELECT DISTINCT seq FROM bench)), n AS (SELECT seq, rank, unnest(range(0, least(length(seq), 6) + 1))::INT AS depth FROM s)
+SELECT depth, "left"(seq, depth) AS prefix, min(rank) AS begin, max(rank) + 1 AS "end", count(*) = 1 AS is_leaf, count(DISTINCT CASE WHEN length(seq) > depth THEN substring(seq, depth + 1, 1) END) AS children FROM n GROUP BY ALL""")
+def dictionary_trie(spark, sf_dir):
+    return suffix.dictionary_trie(_bench(spark, sf_dir), 6)
+
+
 @query(f"""WITH {BENCH}, s AS (SELECT DISTINCT seq FROM bench), n AS (SELECT seq, unnest(range(0, least(length(seq), 4) + 1))::INT AS depth FROM s)
 SELECT depth, "left"(seq, depth) AS prefix, count(*) AS leaves, count(DISTINCT CASE WHEN length(seq) > depth THEN substring(seq, depth + 1, 1) END) AS children FROM n GROUP BY ALL""")
 def suffix_trie(spark, sf_dir):
