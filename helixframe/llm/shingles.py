@@ -5,7 +5,7 @@ similarity of 0.8 leaves about ten of 64 bits different, beyond any deletion var
 rest is found by shingles: with the shingles of each set in one order that holds for all
 sets, two sets that are similar enough share one among the first fifth of the larger and the
 first ninth of the smaller, and these become join keys. Sizes and places of a shared shingle
-rule out pairs, and so do parities: 512 bits tell for the shingles of each of 512 hash classes
+rule out pairs, and so do parities: 2048 bits tell for the shingles of each of 2048 hash classes
 whether their number is odd, and each bit that differs needs a shingle that only one of the
 sets has, of which two sets that are similar enough have a ninth of the sum of their sizes at
 most. Pairs that are left are compared by their whole sets. Any order finds all pairs:
@@ -25,15 +25,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import simhash
 from . import words as W
-from .common import cut, stored
+from .common import cut, release, remove, stored
 from .linking import components, cross_pairs, labelled, labels
 
 K = 5
-SAMPLE = 8192  #: documents in the sample for the order, or a thirty-second of all
+SHARE = 1 / 8  #: of the documents, for the order; SAMPLE documents at least
+SAMPLE = 8192
 BYTES = 1 << 20  #: of text at once
-PARITIES = 8  #: longs of 64 parities each
-COMMON = 1 << 17  #: common shingles sent to the executors; the order of the rest is by hash
-ROUNDS = 2  #: rounds of links to hubs, at most
+PARITIES = 32  #: longs of 64 parities each
+FOLDED = 4  #: longs of the same parities, of larger classes
+COMMON = 1 << 20  #: common shingles sent to the executors; the order of the rest is by hash
+ROUNDS = 3  #: rounds of links to hubs, at most
 SMALL = 1 << 20  #: rows of two numbers that may be sent to the executors
 
 _TAGS = np.uint64(14)  #: bits for a text's number in a batch
@@ -43,8 +45,8 @@ _FACTORS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
 def _batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of bounded bytes and rows, as sets() takes them."""
     for b in W.pieces(batches, column, BYTES):
-        for k in range(0, b.num_rows, 1 << 13):
-            yield b.slice(k, 1 << 13)
+        for k in range(0, b.num_rows, 1 << 11):
+            yield b.slice(k, 1 << 11)
 
 
 def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +130,7 @@ def firsts(h: np.ndarray, at: np.ndarray, common: np.ndarray, rank: np.ndarray,
 
 def _common(docs: DataFrame) -> np.ndarray:
     """Shingles that are common in a sample of docs, the commonest last."""
-    share = max(1 / 32, min(1.0, SAMPLE / max(1, docs.count())))
+    share = max(SHARE, min(1.0, SAMPLE / max(1, docs.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _batches(batches):
@@ -186,13 +188,13 @@ class Texts:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets are similar enough."""
         far = " + ".join(f"bit_count(a_p{i} ^ b_p{i})" for i in range(PARITIES))
-        side = lambda x: self.one.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(f"p{i}").alias(f"{x}_p{i}") for i in range(PARITIES)])
+        side = lambda x: few.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(f"p{i}").alias(f"{x}_p{i}") for i in range(PARITIES)])
+        pairs = cut(pairs)
+        few = self._of(pairs)
         pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(f"9L * ({far}) <= a_n + b_n").select("a", "b"))
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = cut(self.one.join(nodes, "node").select("node", "r.doc_id", "r.order"))
-        small = wanted.count() <= SMALL
-        met = self.docs.join(F.broadcast(wanted.withColumnRenamed("doc_id", "d")) if small else wanted.withColumnRenamed("doc_id", "d").hint("merge"), ["order"]).filter("doc_id <=> d")
-        text = stored(met.groupBy("node").agg(F.first("text").alias("text")), "texts")
+        wanted = cut(self._of(pairs).select("node", F.col("r.doc_id").alias("d"), "r.order"))
+        # rows that repeat give their pairs again, which does no harm
+        text = stored(self.docs.join(_sent(wanted), "order").filter("doc_id <=> d").select("node", "text"), "texts")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in _batches(_batches(batches, "ta"), "tb"):
@@ -205,10 +207,23 @@ class Texts:
                 yield b.select(["a", "b"]).filter(pa.array(9 * both >= 4 * (nx + ny)))
 
         left, right = (text.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-        return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+        found = cut(left.join(_sent(pairs), "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+        remove(text)
+        return found
+
+    def _of(self, pairs: DataFrame) -> DataFrame:
+        """The rows of the pairs' nodes."""
+        nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        return self.one.join(_sent(nodes), "node", "left_semi")
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """df marked to be sent to all executors if it has SMALL rows at most (of a few numbers each); else both sides are shuffled."""
+    return F.broadcast(df) if df.count() <= SMALL else df.hint("merge")
 
 
 #: two sets can be similar enough if this is the first shingle they share
+_ODD = " + ".join(f"bit_count(a_p{i} ^ b_p{i})" for i in range(FOLDED))
 _CAN = "9L * least(a_n - a_pos, b_n - b_pos) >= 4L * (a_n + b_n)"
 
 
@@ -236,28 +251,43 @@ def near(docs: DataFrame, rows: DataFrame) -> DataFrame:
     first = alike.join(to_node("a", "x"), "a").join(to_node("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     first = first.union(fp.join(head, "fp").filter("node != b").select(F.col("node").alias("a"), "b"))
     by_key = Window.partitionBy("key")
-    each = rows.filter("keys is not null").select("node", "n", F.posexplode("keys").alias("pos", "key"))
-    each = each.withColumn("lo", F.min("node").over(by_key)).withColumn("hi", F.max("node").over(by_key)).filter("lo != hi").select("key", "node", "n", "pos").distinct()
-    each = stored(each, "keys")
-    links = texts.verified(first.union(_to_hubs(labelled(each, None), 0)).distinct())
-    known, most = labels(links), None
+    met = lambda rows, c: rows.withColumn("lo", F.min(c).over(by_key)).withColumn("hi", F.max(c).over(by_key)).filter("lo != hi").select("key", "node", "n", "pos")
+    apart = stored(met(rows.filter("keys is not null").select("node", "n", F.posexplode("keys").alias("pos", "key")), "node").distinct(), "keys")
+    release(docs.sparkSession)
+    links = texts.verified(first.union(_to_hubs(_rooted(apart, None), 0)).distinct())
+    most = links.count()
     for k in range(1, ROUNDS + 1):
-        apart = labelled(each, known).withColumn("lo", F.min("root").over(by_key)).withColumn("hi", F.max("root").over(by_key)).filter("lo != hi").drop("lo", "hi")
-        apart = stored(apart, "keys")
-        each = apart.select("key", "node", "n", "pos")
+        known = labels(links)
+        now = stored(met(_rooted(apart, known), "root"), "keys")
+        remove(apart)
+        apart = now
+        release(docs.sparkSession)
         if k == ROUNDS:
             break
-        new = texts.verified(_to_hubs(apart, k))
+        new = texts.verified(_to_hubs(_rooted(apart, known), k))
         found = new.count()
-        if not found:
-            break
         links = links.union(new)
-        known = labels(links)
-        most = found if most is None else most
-        if found * 10 < most:
-            apart = labelled(each, known)
+        if found * 20 <= most:
+            known = labels(links)
             break
-    return links.union(texts.verified(cross_pairs(apart, ["key"], _CAN)))
+    parities = texts.one.select("node", *[_folded(i) for i in range(FOLDED)])
+    last = labelled(apart, known).join(parities, "node")
+    return links.union(texts.verified(cross_pairs(last, ["key"], f"{_CAN} and 9L * ({_ODD}) <= a_n + b_n")))
+
+
+def _rooted(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+    """rows with the roots of their nodes."""
+    if known is None:
+        return rows.withColumn("root", F.col("node"))
+    return rows.join(known.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _folded(i: int) -> Column:
+    """The i-th long of the parities of classes that are PARITIES / FOLDED times as large."""
+    out = F.col(f"p{i}")
+    for k in range(i + FOLDED, PARITIES, FOLDED):
+        out = out.bitwiseXOR(F.col(f"p{k}"))
+    return out.alias(f"p{i}")
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 Fingerprints have 64 bits. They are cut into three segments (22, 21, 21 bits), so of two
 that differ in at most four bits, one segment differs in at most one. That segment is found
 by equality: each fingerprint is listed under each segment with one bit taken out (a
-wildcard). Every meeting is verified on all bits, inside the join.
+wildcard), and under each whole segment; two that meet under a wildcard must differ in that
+bit, so a pair meets a few times at most. Every meeting is verified on all bits, inside the join.
 
 Beyond ``WIDE`` distinct fingerprints, segment keys alone would bring too many strangers
 together. There the key also takes a part of the other bits, again by the pigeonhole rule:
@@ -85,7 +86,7 @@ def _signatures(wide: bool) -> list[tuple[int, int]]:
     for lo, hi in SEGMENTS:
         seg = [i for i in range(64) if lo <= i < hi]
         rest = [i for i in range(64) if i not in seg]
-        for bit in (-1, *seg) if wide else seg:  # whole segments meet under any wildcard, but for the other parts
+        for bit in (-1, *seg):
             parts = (5 if bit < 0 else 4) if wide else 1
             for p in range(parts):
                 agree = [i for i in seg if i != bit] + ([i for k, i in enumerate(rest) if k * parts // len(rest) == p] if wide else [])
@@ -93,14 +94,19 @@ def _signatures(wide: bool) -> list[tuple[int, int]]:
     return out
 
 
-def hub_links(prints: DataFrame, distance: int = 4) -> DataFrame:
-    """Pairs (a, b): fingerprints (node) near the least or the greatest one that shares a whole segment with them."""
+def hub_links(prints: DataFrame, distance: int = 4, known: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b): fingerprints (node) near one of two hubs that share a whole segment with them.
+
+    A segment's hubs are its least and its greatest fingerprint, by value, or by a hash where
+    labels are known; fingerprints of one label aren't paired.
+    """
     segments = F.array(*[F.struct(F.lit(n).cast("short").alias("sig"), F.lit(_signed(_bits(*s))).alias("mask")) for n, s in enumerate(SEGMENTS)])
-    rows = prints.select("node", F.explode(segments).alias("s")).select("node", "s.sig", F.col("node").bitwiseAND(F.col("s.mask")).alias("key"))
-    hubs = rows.groupBy("sig", "key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi")
-    met = rows.join(hubs, ["sig", "key"]).select("node", F.explode(F.array("lo", "hi")).alias("hub"))
-    met = met.filter((F.col("node") != F.col("hub")) & (F.bit_count(F.col("node").bitwiseXOR(F.col("hub"))) <= distance))
-    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    rows = labelled(prints.select("node"), known).select("node", "root", F.explode(segments).alias("s")).select("node", "root", "s.sig", F.col("node").bitwiseAND(F.col("s.mask")).alias("key"))
+    row = F.struct((F.col("node") if known is None else F.xxhash64("node")).alias("by"), "node", "root")
+    hubs = rows.groupBy("sig", "key").agg(F.min(row).alias("lo"), F.max(row).alias("hi"), (F.min("root") != F.max("root")).alias("apart")).filter("apart")
+    met = rows.join(hubs, ["sig", "key"]).select("node", "root", F.explode(F.array("lo", "hi")).alias("hub"))
+    met = met.filter((F.col("root") != F.col("hub.root")) & (F.bit_count(F.col("node").bitwiseXOR(F.col("hub.node"))) <= distance))
+    return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
 def links(prints: DataFrame, wide: bool, distance: int = 4, known: DataFrame | None = None) -> DataFrame:
@@ -108,17 +114,20 @@ def links(prints: DataFrame, wide: bool, distance: int = 4, known: DataFrame | N
 
     known: labels (node, root, size) of fingerprints that are connected already.
     """
-    sigs = F.array(*[F.struct(F.lit(n).cast("short").alias("sig"), F.lit(mask).alias("mask")) for n, (_, mask) in enumerate(_signatures(wide))])
+    sigs = F.array(*[F.struct(F.lit(n).cast("short").alias("sig"), F.lit(bit).cast("byte").alias("bit"), F.lit(mask).alias("mask")) for n, (bit, mask) in enumerate(_signatures(wide))])
     rows = labelled(prints.select("node"), known).select("node", "root", "size", F.explode(sigs).alias("s"))
-    rows = rows.select("s.sig", F.col("node").bitwiseAND(F.col("s.mask")).alias("key"), "node", "root", "size")
-    return cross_pairs(rows, ["sig", "key"], f"bit_count(a_node ^ b_node) <= {distance}")
+    rows = rows.select("s.sig", F.col("node").bitwiseAND(F.col("s.mask")).alias("key"), "node", "root", "size", "s.bit")
+    differ = "(a_bit < 0 or (shiftrightunsigned(a_node ^ b_node, cast(a_bit as int)) & 1) = 1)"
+    return cross_pairs(rows, ["sig", "key"], f"bit_count(a_node ^ b_node) <= {distance} and {differ}")
 
 
 def edges(prints: DataFrame, distance: int = 4) -> DataFrame:
     """Links that connect all fingerprints (node) within ``distance`` bits of each other, each of them within it."""
-    hubs = cut(hub_links(prints, distance))
-    known = None if hubs.isEmpty() else labels(hubs)
-    return hubs.union(cut(links(prints, prints.count() > WIDE, distance, known)))
+    found, known = cut(hub_links(prints, distance)), None
+    if not found.isEmpty():
+        found = cut(found.union(hub_links(prints, distance, labels(found))))
+        known = labels(found)
+    return found.union(cut(links(prints, prints.count() > WIDE, distance, known)))
 
 
 def classes(prints: DataFrame, distance: int = 4) -> DataFrame:

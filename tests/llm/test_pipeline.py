@@ -104,3 +104,22 @@ def test_dedup_finds_all_near_copies(spark):
     want = sorted({find(i) for i in range(len(texts))})
     df = spark.createDataFrame([(i, t, "en", "s0", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in pipeline.deduplicate(spark, df, "").collect()) == want and len(want) < len(texts) // 2
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() == 0
+
+
+def test_stages_take_awkward_rows(spark, folder):
+    """Null and empty texts, null ids and sources, repeated rows and extra columns go through every stage."""
+    rows = [(1, None, None, None, None, "x"), (2, "", "en", "a", 0, "x"), (None, "some words that stay here", "en", None, 5, "x"), (3, "one two", "en", "a", 1, "x"), (3, "one two", "en", "a", 1, "x"), (4, "w " * 30_000, "en", "a", 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert name == "token ids" or out.columns == list(pipeline.COLUMNS)
+        assert out.count() <= 2 * len(rows)
+    assert sorted(str(r.doc_id) for r in pipeline.deduplicate(spark, docs, folder).collect()) == ["1", "3", "4", "None"]
+    assert pipeline.decontaminate(spark, docs, folder).count() == len(rows)
