@@ -37,7 +37,7 @@ def qgram_distinct(spark, sf_dir):
 
 @query(f"""WITH {SEQS}, {BENCH}, {_G}, {_P} SELECT g.string_id, g.pos AS string_pos, p.string_id AS query_id, p.pos AS query_pos FROM g JOIN p USING (gram)""")
 def qgram_hits(spark, sf_dir):
-    return qgram.hits(_grams(spark, sf_dir), _queries(spark, sf_dir))
+    return qgram.hits(_grams(spark, sf_dir), joins.small_side(_queries(spark, sf_dir)))
 
 
 @query(f"WITH {SEQS}, {BENCH}, {_G}, {_P} SELECT string_id, pos, gram FROM p WHERE gram IN (SELECT gram FROM g)")
@@ -57,7 +57,7 @@ _SNAP = "(d - ((d % 16) + 16) % 16 + CASE WHEN 2 * (((d % 16) + 16) % 16) > 16 T
 @query(f"""WITH {SEQS}, {BENCH}, {_G}, {_P}, h AS (SELECT g.string_id, p.string_id AS query_id, (g.pos - p.pos)::BIGINT AS d FROM g JOIN p USING (gram))
 SELECT string_id, query_id, {_SNAP}::BIGINT AS diag, count(*) AS n_hits FROM h GROUP BY ALL""")
 def qgram_diagonals(spark, sf_dir):
-    return qgram.diagonals(qgram.hits(_grams(spark, sf_dir), _queries(spark, sf_dir)))
+    return qgram.diagonals(qgram.hits(_grams(spark, sf_dir), joins.small_side(_queries(spark, sf_dir))))
 
 
 @query(f"""WITH {SEQS}, g AS (SELECT * FROM (WITH {grams_sql("x", "seqs", 24, 24)} SELECT * FROM x)), {grams_sql("p", "seqs", 24, 1)},
@@ -70,7 +70,7 @@ def qgram_overlap(spark, sf_dir):
     One side's grams are taken at every place, so shared passages of 47 symbols meet at any offset.
     """
     s = sequences(spark, sf_dir)
-    pairs = qgram.hits(seeds.qgrams(s, 24, 24), seeds.qgrams(s, 24)).filter("string_id != query_id")
+    pairs = qgram.hits(joins.small_side(seeds.qgrams(s, 24, 24)), seeds.qgrams(s, 24)).filter("string_id != query_id")
     best = Window.partitionBy("query_id").orderBy(F.desc("n_hits"), "string_id", "diag")
     return qgram.diagonals(pairs).withColumn("r", F.row_number().over(best)).filter("r = 1").select("query_id", "string_id", "diag", "n_hits")
 
