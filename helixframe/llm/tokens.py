@@ -27,9 +27,10 @@ from . import planes
 from . import words as W
 from .common import partitions, stored, table
 
-CACHE = 250_000  #: pre-tokens, and stretches between spaces, that an encoder remembers
+CACHE = 400_000  #: pre-tokens, and stretches between spaces, that an encoder remembers
 _NOT_BLANK = np.ones(256, bool)
 _NOT_BLANK[0x20] = False
+_SEPARATORS = re.compile("[\x1c-\x1f]")  #: the ASCII characters of _unlike()
 _TWO_SPACES = re.compile(r"\s\s")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
@@ -66,8 +67,11 @@ class Encoder:
 
     def odd(self, text: str) -> bool:
         """Whether pre-tokens can't be found here as the tokenizer finds them."""
-        astral = not text.isascii() and len(text.encode("utf-16-le", "surrogatepass")) != 2 * len(text)
-        return bool(astral or self.unlike.search(text) or any(x in text for x in self.special))
+        if any(x in text for x in self.special):
+            return True
+        if text.isascii():
+            return _SEPARATORS.search(text) is not None
+        return len(text.encode("utf-16-le", "surrogatepass")) != 2 * len(text) or self.unlike.search(text) is not None
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -106,11 +110,14 @@ class Encoder:
             keep = ~alone[doc]
             s, e, h, doc = s[keep], e[keep], h[keep], doc[keep]
             distinct, where, unit = np.unique(h, return_index=True, return_inverse=True)
-            first = where[unit]
-            same = W.equal(flat, s, e, flat, s[first], e[first])
+            first, n = where[unit], e - s
+            same = (n == n[first]) & (start[keep] == start[keep][first])
+            long = np.flatnonzero(same & (n > 7))  # hashes of words of seven bytes at most are all different
+            same[long] = W.equal(flat, s[long], e[long], flat, s[first[long]], e[first[long]])
             if same.all():
                 break
             alone[doc[~same]] = True
+            start = start[keep]
         if len(self.stretches) > CACHE:
             self.stretches.clear()
         stretches, raw = self.stretches, flat.tobytes()

@@ -594,7 +594,8 @@ def test_equal_hashes_do_no_harm(weak, monkeypatch):
     from tokenizers import Tokenizer
 
     if weak:
-        monkeypatch.setattr(words, "hashes", lambda flat, s, e: ((e - s) % 5).astype(np.uint64) << np.uint64(60))
+        kept = words.hashes  # of seven bytes at most, all differ
+        monkeypatch.setattr(words, "hashes", lambda flat, s, e: np.where(e - s > 7, ((e - s) % 5).astype(np.uint64) << np.uint64(60), kept(flat, s, e)))
     a, b = thue_morse(10)
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["x " + a, "x " + b, a, b, GOOD, "the cat sat on the mat and the dog", None, GOOD + " " + a]
