@@ -46,7 +46,7 @@ def fastq_files(spark, sf_dir):
 
 
 @query(f"WITH {SEQS} SELECT seq, length(seq) AS len, list_aggregate(list_transform(string_split({_QUALS}, ''), lambda x: ascii(x) - 33), 'sum')::BIGINT AS quality FROM seqs WHERE seq <> ''")
-def opened_sequences(spark, sf_dir):
+def sequence_files(spark, sf_dir):
     """Any sequence file, chosen by its suffix: symbols, lengths and numeric qualities."""
     path = workspace(spark, "reads") + ".fastq"
     writers.write_lines(writers.fastq_lines(_names(spark, sf_dir), F.col("name"), F.col("seq"), F.expr(_QUALS)), path)
