@@ -745,6 +745,33 @@ def test_bradley_terry_is_at_the_optimum():
     assert m["cut"] == pytest.approx(np.quantile(z @ m["w"], (y == 0).mean()))
 
 
+def test_bradley_terry_takes_all_pairs():
+    """Without max_pairs the gradient over every pair vanishes; a constant feature and other labels do no harm."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(200, quality.N_FEATURES))
+    x[:, 3] = 0.1
+    y = (x[:, 0] + rng.normal(size=200) > 0.7).astype(int)
+    p = quality.BradleyTerry()
+    m = quality.fit(x, y, p)
+    z = np.clip((x - m["mean"]) / np.where(m["std"] > 0, m["std"], 1), -8, 8)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    slope = d.T @ (1 / (1 + np.exp(d @ m["w"]))) / len(d) - p.ridge * m["w"]
+    assert np.abs(slope).max() < 1e-6 and np.abs(m["w"]).max() > 0.5
+    assert m["cut"] == pytest.approx(np.quantile(z @ m["w"], (y == 0).mean()))
+
+
+def test_quality_learns_every_labelled_row(spark):
+    """12,000 labelled rows, more than any bound of old: the model is that of all of them in memory."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice(["Some", "words", "of", "prose,", "$$", "42", "end."], int(rng.integers(1, 9)))) for _ in range(12_000)]
+    marks = [int("$$" not in t or rng.random() < 0.2) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = quality.train(docs, labels(spark, [(i, y, 0) for i, y in enumerate(marks)]))
+    want = quality.fit(quality.features(pa.array(texts)), np.array(marks), quality.BradleyTerry())
+    for k in ("mean", "std", "w", "cut"):
+        assert got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-8)
+
+
 def test_labelled_ids_that_repeat(spark):
     """Copies of a labelled id are one row to learn from, whatever their number."""
     docs, marks = corpus(spark, with_insult, 90)
