@@ -6,8 +6,9 @@ shared folder, so that Spark commits them: a task that is lost and run again lea
 behind, and any store that Spark knows will do. ``export`` puts them out as single files.
 
 Encoding splits a text into the tokenizer's own pre-tokens and encodes each distinct one
-once, by the tokenizers library, while it is remembered; texts with characters whose classes differ between the two
-pattern libraries are encoded whole.
+once, by the tokenizers library, while it is remembered; many new ones are encoded as one
+string and told apart by their bytes. Texts with characters whose classes differ between the
+two pattern libraries are encoded whole.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ import re
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -27,10 +29,18 @@ from . import planes
 from . import words as W
 from .common import partitions, stored, table
 
-CACHE = 400_000  #: pre-tokens, and stretches between spaces, that an encoder remembers
+CACHE = 300_000  #: pre-tokens and stretches between spaces that an encoder remembers beyond those of a batch
+CHUNK = 100  #: of them that are encoded as one string
 _NOT_BLANK = np.ones(256, bool)
 _NOT_BLANK[0x20] = False
+_CLASS = np.zeros(256, np.uint8)  # 0 marks and controls, 1 letters (beyond ASCII those of two bytes up to U+023F), 2 digits, 3 white space
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC3, 0xC9)]], _CLASS[0x30:0x3A], _CLASS[[0x20, *range(0x09, 0x0E)]] = 1, 2, 3
+_WHOLE = np.zeros(256, bool)  # bytes of stretches that these classes can't split: apostrophes (contractions) and all other characters
+_WHOLE[0x27] = _WHOLE[0xC0:0xC3] = _WHOLE[0xC9:] = True
 _SEPARATORS = re.compile("[\x1c-\x1f]")  #: the ASCII characters of _unlike()
+_WORD = re.compile(rb" (?:[A-Za-z]|[\xc4-\xc8][\x80-\xbf]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Of a token, in byte-level characters (U+0120 is a space): it runs on from the end of a _WORD into a space.
+_INTO_SPACE = re.compile("(?:[A-Za-z]|(?<!\u00c2)[\u00a1-\u00bf\u0122-\u0143])\u0120")
 _TWO_SPACES = re.compile(r"\s\s")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
@@ -47,8 +57,30 @@ def _unlike() -> re.Pattern:
     return re.compile("[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in spans) + "]")
 
 
+def _parts(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts and ends of all stretches between spaces, plain ones cut where the class of their bytes changes."""
+    s, e, _ = W.spans(flat, offs, _NOT_BLANK)
+    if not len(s):
+        return s, e
+    kind, inside = _CLASS[flat], _NOT_BLANK[flat]
+    whole = _WHOLE[flat]
+    whole[:-1] |= (flat[:-1] == 0xC3) & ((flat[1:] == 0x97) | (flat[1:] == 0xB7))  # two marks among the letters
+    whole = np.concatenate([[0], np.cumsum(whole, dtype=np.int64)])
+    whole = whole[e] > whole[s]
+    cut = np.flatnonzero((kind[1:] != kind[:-1]) & inside[1:] & inside[:-1]) + 1
+    cut = cut[~whole[np.searchsorted(s, cut, "right") - 1]]
+    first, last = np.zeros(len(flat), bool), np.zeros(len(flat) + 1, bool)
+    first[s] = first[cut] = last[e] = last[cut] = True
+    return np.flatnonzero(first), np.flatnonzero(last)
+
+
+def _begins(part: bytes, at: int) -> bool:
+    """Whether a character other than white space is there."""
+    return len(part) > at and (0x20 < part[at] < 0x7F or part[at] > 0x7F and not part.decode()[at].isspace())
+
+
 class Encoder:
-    """encode(text) and batch(column): ids of the tokenizer, each distinct stretch of text encoded once while remembered."""
+    """encode(text) and batch(column): ids of the tokenizer, each distinct part of a text encoded once while remembered."""
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the machine
@@ -58,11 +90,15 @@ class Encoder:
             import public_tokenizers
 
             path = public_tokenizers.path("byte_bpe_50k.json")
-        self.whole, self.piece = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.whole = Tokenizer.from_file(path)
+        vocab = self.whole.get_vocab()
+        self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # of each id: a byte-level token has a character for each byte
+        self.n_bytes[list(vocab.values())] = [len(x) for x in vocab]
+        self.unsplit = Tokenizer(self.whole.model)
+        self.unsplit.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.apart = not any(_INTO_SPACE.search(x) for x in vocab)
         self.unlike = _unlike()
-        self.known: dict[str, bytes] = {}  # pre-tokens
-        self.stretches: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}  # pre-tokens and stretches
         self.special = [x.content for x in self.whole.get_added_tokens_decoder().values()]
 
     def odd(self, text: str) -> bool:
@@ -77,39 +113,91 @@ class Encoder:
         """The ids as little-endian unsigned 32-bit integers."""
         if self.odd(text):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        parts = _SPLIT.findall(text)
+        parts = [x.encode() for x in _SPLIT.findall(text)]
         self._learn(set(parts))
-        return b"".join([self.known[p] for p in parts])
+        return b"".join([self.known[x] for x in parts])
+
+    def _learn(self, parts: Collection[bytes]) -> None:
+        """Makes the ids of all parts, each a pre-token or several of them, known.
 
-    def _learn(self, parts: set[str]) -> None:
-        if len(self.known) > CACHE:  # only a cache: what goes is encoded again
-            self.known.clear()
+        New parts follow each other in strings of CHUNK parts. A pre-token never runs on into
+        a space or a line feed and what follows it, so a part that begins with neither a
+        space nor white space gets a line feed before it, whose id is dropped.
+        """
         known = self.known
-        new = [p for p in parts if p not in known]
-        for p, e in zip(new, self.piece.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = array("I", e.ids).tobytes()
+        if len(known) > CACHE:  # only a cache: what goes is encoded again
+            self.known = known = {x: known[x] for x in parts if x in known}
+        new = [x for x in parts if x not in known]
+        if not new:
+            return
+        words = [x for x in new if _WORD.fullmatch(x)] if self.apart else []  # pre-tokens that no token leaves: joined, they need not be split again
+        rest = [*set(new).difference(words)]
+        spaced = [x for x in rest if x[0] == 0x20 and _begins(x, 1)]
+        plain = [x for x in rest if x[0] != 0x20 and _begins(x, 0)]
+        single = [x for x in rest if not _begins(x, x[0] == 0x20)]
+        new = words + spaced + plain + single
+        strings = [(b"\n" + b"\n".join(plain[i : i + CHUNK])).decode() for i in range(0, len(plain), CHUNK)]
+        strings = [b"".join(spaced[i : i + CHUNK]).decode() for i in range(0, len(spaced), CHUNK)] + strings + [x.decode() for x in single]
+        unsplit = [b"".join(words[i : i + CHUNK]).decode() for i in range(0, len(words), CHUNK)]
+        found = self.unsplit.encode_batch_fast(unsplit, add_special_tokens=False) + self.whole.encode_batch_fast(strings, add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, "<u4") for x in found])
+        drop = np.repeat([0, 1, 0], [len(words) + len(spaced), len(plain), len(single)])
+        ends, to = np.cumsum(self.n_bytes[ids]), np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + drop)
+        at = np.searchsorted(ends, to) + 1
+        if at[-1] != len(ids) or (ends[at - 1] != to).any():  # not a byte-level tokenizer as it should be
+            known.update((x, array("I", self.whole.encode(x.decode(), add_special_tokens=False).ids).tobytes()) for x in new)
+            return
+        raw, begin = ids.tobytes(), np.concatenate([[0], at[:-1]]) + drop
+        known.update(zip(new, [raw[i:j] for i, j in zip((4 * begin).tolist(), (4 * at).tolist(), strict=True)], strict=True))
+
+    def _alone(self, flat: np.ndarray, raw: bytes, offs: np.ndarray) -> np.ndarray:
+        """Which texts are odd, end with a space or have neighbouring white space: ASCII ones are told by their bytes."""
+        n = len(offs) - 1
+        full = offs[1:] > offs[:-1]
+
+        def has(hit: np.ndarray) -> np.ndarray:
+            out = np.zeros(n, bool)
+            out[np.searchsorted(offs, np.flatnonzero(hit), "right") - 1] = True
+            return out
+
+        white = _CLASS[flat] == 3
+        two = white[1:] & white[:-1]
+        two[offs[1:-1][(offs[1:-1] > 0) & (offs[1:-1] < len(flat))] - 1] = False  # of two texts
+        alone = has(two) | has((flat >= 0x1C) & (flat <= 0x1F))
+        alone[full] |= flat[offs[1:][full] - 1] == 0x20
+        rest = has(flat >= 0x80)
+        if any(x.encode() in raw for x in self.special):
+            rest |= full
+        for i in np.flatnonzero(rest & ~alone):
+            t = raw[offs[i] : offs[i + 1]].decode()
+            alone[i] = _TWO_SPACES.search(t) is not None or self.odd(t)
+        return alone
 
     def batch(self, column: pa.Array, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids end to end, each text closed by end_id, and each text's number of ids.
 
         Where no white space neighbours another, each pre-token begins at or after a space, so
-        the stretches between spaces can be encoded one by one. Equal stretches are found by
-        a 64-bit hash and compared byte by byte; texts with a stretch whose hash is another's,
-        and texts with neighbouring white space, are encoded by themselves.
+        the stretches between spaces can be encoded one by one. Plain stretches (Latin
+        letters, ASCII otherwise, no apostrophes) are cut further, where the class of their bytes
+        changes, which gives their pre-tokens. Equal parts are found by a 64-bit hash and compared byte by byte; texts with
+        a part whose hash is another's, and texts with neighbouring white space, are encoded by
+        themselves.
         """
-        texts = column.to_pylist()
-        alone = np.array([bool(t) and (t[-1] == " " or _TWO_SPACES.search(t) is not None or self.odd(t)) for t in texts], bool)
         flat, offs = W.flat_bytes(column)
-        s, e, at = W.spans(flat, offs, _NOT_BLANK)
+        raw, n_texts = flat.tobytes(), len(column)
+        alone = self._alone(flat, raw, offs)
+        s, e = _parts(flat, offs)
         h = W.hashes(flat, s, e)
-        doc = np.repeat(np.arange(len(texts)), np.diff(at))
-        start = s != offs[doc]
-        s = s - start  # the space before belongs to a stretch, but at a text's start
+        doc = np.searchsorted(offs, s, "right") - 1
+        start = (s != offs[doc]) & ~_NOT_BLANK[flat[s - 1]]
+        s = s - start  # the space before belongs to a part, but at a text's start
         h[start] = W.mix(h[start])
         while True:
             keep = ~alone[doc]
             s, e, h, doc = s[keep], e[keep], h[keep], doc[keep]
-            distinct, where, unit = np.unique(h, return_index=True, return_inverse=True)
+            unit = pd.factorize(h)[0]
+            where = np.zeros(unit.max(initial=-1) + 1, np.int64)
+            where[unit[::-1]] = np.arange(len(unit))[::-1]  # the first of each hash
             first, n = where[unit], e - s
             same = (n == n[first]) & (start[keep] == start[keep][first])
             long = np.flatnonzero(same & (n > 7))  # hashes of words of seven bytes at most are all different
@@ -118,26 +206,20 @@ class Encoder:
                 break
             alone[doc[~same]] = True
             start = start[keep]
-        if len(self.stretches) > CACHE:
-            self.stretches.clear()
-        stretches, raw = self.stretches, flat.tobytes()
         keys = [raw[a:b] for a, b in zip(s[where].tolist(), e[where].tolist(), strict=True)]
-        new = {k: _SPLIT.findall(k.decode()) for k in keys if k not in stretches}
-        self._learn({t for parts in new.values() for t in parts})
-        known = self.known
-        for k, parts in new.items():
-            stretches[k] = known[parts[0]] if len(parts) == 1 else b"".join([known[t] for t in parts])
-        bits = [stretches[k] for k in keys] + [self.encode(texts[i]) for i in np.flatnonzero(alone)] + [np.array([end_id], "<u4").tobytes()]
-        # each text's units: its stretches, or the unit of the whole text, and the end
-        ends = np.searchsorted(doc, np.arange(len(texts)), "right")
-        places, values = np.repeat(ends, 1 + alone), np.full(len(texts) + int(alone.sum()), len(bits) - 1)
+        self._learn(dict.fromkeys(keys))
+        bits = [*map(self.known.__getitem__, keys)]
+        bits += [self.encode(raw[offs[i] : offs[i + 1]].decode()) for i in np.flatnonzero(alone)] + [np.array([end_id], "<u4").tobytes()]
+        # each text's units: its parts, or the unit of the whole text, and the end
+        ends = np.searchsorted(doc, np.arange(n_texts), "right")
+        places, values = np.repeat(ends, 1 + alone), np.full(n_texts + int(alone.sum()), len(bits) - 1)
         values[np.flatnonzero(alone) + np.arange(int(alone.sum()))] = len(keys) + np.arange(int(alone.sum()))
         unit = np.insert(unit, places, values)
         size = np.fromiter(map(len, bits), np.int64, len(bits)) // 4
         begin = np.cumsum(size) - size
         ids = np.frombuffer(b"".join(bits), "<u4")[np.repeat(begin[unit], size[unit]) + W.runs(size[unit])]
         units = np.diff(np.concatenate([[0], ends])) + 1 + alone
-        return ids, np.add.reduceat(size[unit], np.cumsum(units) - units) if len(texts) else size[:0]
+        return ids, np.add.reduceat(size[unit], np.cumsum(units) - units) if n_texts else size[:0]
 
 
 _ENCODERS: dict[str | None, Encoder] = {}

@@ -291,6 +291,37 @@ def test_tokens(spark, awkward, none):
     assert tokens.encode(none).count() == 0
 
 
+def test_encoder_joins_what_is_new(monkeypatch):
+    """Random texts of awkward bits by batch(), as the tokenizer has them; few strings reach the library; what is remembered stays bounded."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(14)
+    monkeypatch.setattr(tokens, "CACHE", 50)
+    enc = tokens.Encoder()
+    bits = ["a", "Z", "the", " ", " ", " ", "\n", "\t", "'", "'ll", "1", "_", ".", "...", "é", "à", "×", "÷", "ñboja", "\xa0", "日本", "　", "\x85", "\x00", "😀", "²", "·", "<|endoftext|>", "\x1c"]
+    for some in (bits, bits[:20], bits[:14]):
+        texts = ["".join(rng.choice(some, int(rng.integers(0, 16)))).replace("  ", " ") for _ in range(400)] + [None, "", " ", "\n", "a ", "\na"]
+        ids, size = enc.batch(pa.array(texts))
+        for x, got in zip(texts, np.split(ids, np.cumsum(size)[:-1]), strict=True):
+            assert got.tolist() == [*t.encode(x or "", add_special_tokens=False).ids, 0], repr(x)
+    sent = []
+
+    class Counted:
+        def encode_batch_fast(self, strings, **k):
+            sent.extend(strings)
+            return t.encode_batch_fast(strings, **k)
+
+    enc = tokens.Encoder()
+    enc.whole = Counted()
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}é, {i}" for i in range(3000)]
+    enc.batch(pa.array([" ".join(words)]))
+    assert len(sent) < 100  # a string for each new word before
+    enc.batch(pa.array(["x"]))
+    assert len(enc.known) < 200
+
+
 # 8
 
 
