@@ -87,6 +87,7 @@ def features(column: pa.Array) -> np.ndarray:
 
 
 N_FEATURES = N_KINDS + 10
+PIECE = 1 << 20  #: bytes of texts whose words are looked at together: memory grows with it, results do not depend on it
 
 
 STEP = 1 / 16  #: between the grid's scores
@@ -270,7 +271,7 @@ def train(docs: DataFrame, labels: DataFrame, p: BradleyTerry = BradleyTerry())
     texts = docs.filter("doc_id is not null").select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in W.pieces(batches):
+        for b in W.pieces(batches, max_bytes=PIECE):
             x = features(b.column("text")).astype("<f8")
             yield pa.record_batch([b.column("doc_id"), b.column("h"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "h", "x"])
 
@@ -290,7 +291,7 @@ def score(docs: DataFrame, model: dict, threshold: float, keep: str = "doc_id lo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in W.pieces(batches):
+        for b in W.pieces(batches, max_bytes=PIECE):
             x = _standard(features(b.column("text")), m["mean"], m["std"])
             s = 1 / (1 + np.exp(-np.clip(x @ m["w"] - m["cut"] + shift, -700, 700)))
             yield pa.record_batch([*(b.column(c) for c in names), pa.array(s)], [*names, "score"])
