@@ -6,7 +6,9 @@ Python object is made for a word, and time is a few nanoseconds a byte whatever
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +44,15 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, offs - offs[0]
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim is not None:
+            trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose texts have at most max_bytes, or one text: memory doesn't grow with a batch."""
     for b in batches:
@@ -51,6 +62,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: i
             j = max(i + 1, int(np.searchsorted(size, done + max_bytes, "right")))
             yield b.slice(i, j - i)
             i, done = j, int(size[j - 1])
+    give_back()
 
 
 def spans(flat: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,7 +1,10 @@
 """Each operator against brute force, or for properties, on small tables with awkward rows."""
 
 import hashlib
+import os
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -59,6 +62,26 @@ def test_pieces_bound_bytes():
     assert [x.num_rows for x in words.pieces([b], max_bytes=20)] == [2, 1, 1]
 
 
+def test_tasks_give_memory_back():
+    """After a task's last batch a worker holds little memory that glibc could still give back."""
+    code = """
+import ctypes, numpy as np, pyarrow as pa
+from helixframe.llm import tokens, words
+mb = lambda: int(open("/proc/self/statm").read().split()[1]) * 4 // 1024
+rng = np.random.default_rng(0)
+vocab = np.array([f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(90_000)])
+b = pa.record_batch([pa.array([" ".join(rng.choice(vocab, 300)) for _ in range(5_000)])], ["text"])
+encoder = tokens.Encoder()
+for p in words.pieces(iter([b])):
+    x = encoder.batch(p.column("text"))
+after = mb()
+ctypes.CDLL(None).malloc_trim(0)
+print(after - mb())
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ)
+    assert int(got.stdout) < 20
+
+
 def test_xxh64_matches_the_library():
     rng = np.random.default_rng(1)
     buf = rng.integers(0, 256, 5000, dtype=np.uint8)
