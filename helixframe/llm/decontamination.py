@@ -1,10 +1,11 @@
 """Benchmark decontamination with an FM-index per shard of training text.
 
-A shard is a stretch of a partition's texts of about ``shard_bytes``. Words that no benchmark
-item has can't be part of a match: they cut the shard's word sequence into runs of benchmark
-words, which the index holds (runs shorter than the shortest window are left out, too). All
-windows of the items are searched backward together; their occurrences are located from
-sampled suffix positions and merged into spans of words.
+A shard is a stretch of a partition's texts of about ``shard_bytes``, whose words are found a
+piece of ``PIECE`` bytes at a time. Words that no benchmark item has can't be part of a match:
+they cut the shard's word sequence into runs of benchmark words, which the index holds (runs
+shorter than the shortest window are left out, too; more than ``INDEXED`` words get several
+indexes). All windows of the items are searched backward together; their occurrences are
+located from sampled suffix positions and merged into spans of words.
 
 The benchmark is split into blocks of at most ``block_bytes`` text by a measured size, and
 each block is sent to the executors for one pass over the documents, so a benchmark of any
@@ -14,7 +15,7 @@ size is searched whole with bounded memory.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,9 @@ from .common import stored, table
 from .fmindex import FMIndex
 
 WINDOW = 10
-CHUNK = 1 << 19  #: occurrences located at once
+CHUNK = 1 << 17  #: occurrences located at once
+PIECE = 1 << 20  #: bytes of texts whose words are looked at together
+INDEXED = 1 << 18  #: words of an index, or one run: runs are searched apart from each other anyway
 
 
 @dataclass(frozen=True)
@@ -112,9 +115,16 @@ def occurrences(sym: np.ndarray, at: np.ndarray, w: Windows) -> Iterator[tuple[n
     a, b = a[long], b[long]
     if not len(a):
         return
+    group = np.cumsum(b - a + 1) // INDEXED
+    for g in np.split(np.arange(len(a)), np.flatnonzero(np.diff(group)) + 1):
+        yield from _in_runs(sym, a[g], b[g], w)
+
+
+def _in_runs(sym: np.ndarray, a: np.ndarray, b: np.ndarray, w: Windows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """occurrences() in the runs of words from a to b, by one index."""
     size = b - a + 1
     place = np.repeat(a, size) + W.runs(size)  # the last of each run is its end
-    text = np.append(sym, 0)[np.minimum(place, n)]
+    text = sym[np.minimum(place, len(sym) - 1)]
     text[np.cumsum(size) - 1] = 0
     index = FMIndex(text, len(w.vocab) + len(w.twins) + 1)
     lo, hi = index.search(w.patterns, w.lengths)
@@ -129,12 +139,17 @@ def occurrences(sym: np.ndarray, at: np.ndarray, w: Windows) -> Iterator[tuple[n
         yield place[index.locate(lo[some[win]] + k - (ends - count)[win])], some[win]
 
 
-def search(column: pa.Array, w: Windows | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word starts, ends and hits, each text's word offsets, and (text << 32 | item) of all matches."""
-    flat, s, e, h, at = word_hashes(column)
-    edge, pairs = np.zeros(len(h) + 1, np.int64), [np.zeros(0, np.int64)]
-    if w is not None and len(h):
-        for place, win in occurrences(symbols(flat, s, e, h, w), at, w):
+def matches(texts: Iterable[pa.Array], w: Windows | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hits of all words of a shard, given in pieces, each text's word offsets, and (text << 32 | item) of all matches."""
+    found, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for column in texts:
+        flat, s, e, h, at = word_hashes(column)
+        counts.append(np.diff(at))
+        found.append(np.zeros(len(h), np.int32) if w is None else symbols(flat, s, e, h, w).astype(np.int32))
+    sym, at = np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+    edge, pairs = np.zeros(len(sym) + 1, np.int32), [np.zeros(0, np.int64)]
+    if w is not None and len(sym):
+        for place, win in occurrences(sym, at, w):
             np.add.at(edge, place, 1)
             np.add.at(edge, place + w.lengths[win], -1)
             doc = np.searchsorted(at, place, "right") - 1
@@ -142,7 +157,19 @@ def search(column: pa.Array, w: Windows | None) -> tuple[np.ndarray, np.ndarray,
             doc, win = got >> 32, got & 0xFFFFFFFF
             n = (w.owner_at[1:] - w.owner_at[:-1])[win]
             pairs.append(np.unique(np.repeat(doc, n) << 32 | w.owners[np.repeat(w.owner_at[win], n) + W.runs(n)]))
-    return s, e, np.cumsum(edge)[:-1] > 0, at, np.unique(np.concatenate(pairs))
+    return np.cumsum(edge, dtype=np.int32)[:-1] > 0, at, np.unique(np.concatenate(pairs))
+
+
+def search(column: pa.Array, w: Windows | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word starts, ends and hits, each text's word offsets, and (text << 32 | item) of all matches."""
+    flat, offs = W.flat_bytes(column)
+    s, e, _ = W.spans(W.LOWER[flat], offs, W.ALNUM)
+    return s, e, *matches([column], w)
+
+
+def _hits(hit: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The number of each text's words that are hit."""
+    return np.add.reduceat(np.append(hit, False), at[:-1], dtype=np.int64) * (np.diff(at) > 0)
 
 
 def block_count(bench: DataFrame, block_bytes: int) -> int:
@@ -157,16 +184,17 @@ def block(bench: DataFrame, k: int, n: int, window: int) -> Windows | None:
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.Table]:
+    """The shards' rows, in the pieces that their words are found in."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for b in W.pieces(batches, max_bytes=min(shard_bytes, 1 << 20)):
+    for b in W.pieces(batches, max_bytes=min(shard_bytes, PIECE)):
         held.append(b)
         size += b.nbytes
         if size >= shard_bytes:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, size = [], 0
+            t, held, size = pa.Table.from_batches(held), [], 0
+            yield t
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield pa.Table.from_batches(held)
 
 
 def _column(t: pa.Table, name: str) -> pa.Array:
@@ -192,8 +220,8 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for t in _shards(batches, shard_bytes):
-            _, _, hit, at, pairs = search(_column(t, "text"), w)
-            n_hit = np.add.reduceat(np.append(hit, False).astype(np.int64), at[:-1]) * (np.diff(at) > 0)
+            hit, at, pairs = matches(t.column("text").chunks, w)
+            n_hit = _hits(hit, at)
             n_items = np.bincount(pairs >> 32, minlength=t.num_rows)
             sha = [none] * t.num_rows
             ends = np.cumsum(n_items)
@@ -215,7 +243,7 @@ def _contamination_in_blocks(docs: DataFrame, bench: DataFrame, n: int, window:
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             w = sent.value
             for t in _shards(batches, shard_bytes):
-                _, _, hit, at, pairs = search(_column(t, "text"), w)
+                hit, at, pairs = matches(t.column("text").chunks, w)
                 spots = [np.flatnonzero(hit[a:b]).tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
                 names: list[list[str]] = [[] for _ in spots]
                 for p in pairs:
@@ -267,6 +295,18 @@ def cut_spans(texts: list[str | None], w: Windows | None) -> list[str | None]:
     return out
 
 
+def _cut(b: pa.RecordBatch, dirty: np.ndarray, w: Windows | None) -> pa.RecordBatch:
+    """The rows of documents with the texts in dirty places cut; those without a word left go."""
+    if not len(dirty):
+        return b
+    texts, sizes, kept = b.column("text").to_pylist(), b.column("n_chars").to_pylist(), np.ones(b.num_rows, bool)
+    for i, x in zip(dirty, cut_spans([texts[i] for i in dirty], w), strict=True):
+        texts[i], sizes[i], kept[i] = x, len(x), any(c.isalnum() for c in x)
+    names = b.schema.names
+    new = {"text": pa.array(texts, b.column("text").type), "n_chars": pa.array(sizes, pa.int64())}
+    return pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in names], names).filter(pa.array(kept))
+
+
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard_bytes: int = 16 << 20, block_bytes: int = 4 << 20) -> DataFrame:
     """The rows of documents with all benchmark windows cut out of their texts, and n_chars to match.
 
@@ -283,20 +323,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for t in _shards(batches, shard_bytes):
-            text = _column(t, "text")
-            _, _, hit, at, _ = search(text, w)
-            dirty = np.flatnonzero(np.add.reduceat(np.append(hit, False).astype(np.int64), at[:-1]) * (np.diff(at) > 0))
-            if len(dirty):
-                all_texts = text.to_pylist()
-                new = cut_spans([all_texts[i] for i in dirty], w)
-                sizes = t.column("n_chars").to_pylist()
-                gone = np.ones(t.num_rows, bool)
-                for i, x in zip(dirty, new, strict=True):
-                    all_texts[i], sizes[i] = x, len(x)
-                    gone[i] = any(c.isalnum() for c in x)
-                t = t.set_column(t.schema.get_field_index("text"), "text", pa.array(all_texts, text.type))
-                t = t.set_column(t.schema.get_field_index("n_chars"), "n_chars", pa.array(sizes, pa.int64())).filter(pa.array(gone))
-            yield from t.combine_chunks().to_batches()
+            hit, at, _ = matches(t.column("text").chunks, w)
+            dirty, first = _hits(hit, at) > 0, 0
+            for b in t.to_batches():
+                yield _cut(b, np.flatnonzero(dirty[first : first + b.num_rows]), w)
+                first += b.num_rows
 
     return docs.mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")
 
@@ -308,7 +339,7 @@ def _hit_words(rows: DataFrame, bench: DataFrame, k: int, n: int, window: int, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for t in _shards(batches, shard_bytes):
-            _, _, hit, at, _ = search(_column(t, "text"), w)
+            hit, at, _ = matches(t.column("text").chunks, w)
             some = np.flatnonzero([hit[a:b].any() for a, b in zip(at[:-1], at[1:], strict=True)])
             spots = [np.flatnonzero(hit[at[i] : at[i + 1]]).tolist() for i in some]
             yield pa.RecordBatch.from_arrays([_column(t, "row").take(pa.array(some)), pa.array(spots, pa.list_(pa.int64()))], ["row", "spots"])

@@ -31,6 +31,7 @@ from .common import partitions, stored, table
 
 CACHE = 300_000  #: pre-tokens and stretches between spaces that an encoder remembers beyond those of a batch
 CHUNK = 100  #: of them that are encoded as one string
+PIECE = 1 << 20  #: bytes of texts that are split together: memory grows with it, ids do not depend on it
 _NOT_BLANK = np.ones(256, bool)
 _NOT_BLANK[0x20] = False
 _CLASS = np.zeros(256, np.uint8)  # 0 marks and controls, 1 letters (beyond ASCII those of two bytes up to U+023F), 2 digits, 3 white space
@@ -222,7 +223,7 @@ class Encoder:
         return ids, np.add.reduceat(size[unit], np.cumsum(units) - units) if n_texts else size[:0]
 
 
-_ENCODERS: dict[str | None, Encoder] = {}
+_ENCODERS: dict[str | None, Encoder] = W.kept()
 
 
 def encoder_of(path: str | None) -> Encoder:
@@ -258,7 +259,7 @@ def write_files(docs: DataFrame, tokenizer: str | None = None, kind: str = "byte
             held, doc_ids, sizes, seq, n = [], [], [], seq + 1, 0
             return out
 
-        for b in W.pieces(batches):
+        for b in W.pieces(batches, max_bytes=PIECE, keep=_ENCODERS):
             ids, size = encoder.batch(b.column("text"))
             held.append(ids)
             doc_ids += b.column("doc_id").to_pylist()

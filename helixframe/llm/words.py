@@ -53,8 +53,24 @@ def give_back() -> None:
             trim(0)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches in slices whose texts have at most max_bytes, or one text: memory doesn't grow with a batch."""
+_KEPT: list[dict] = []
+
+
+def kept() -> dict:
+    """A dictionary that a worker keeps from task to task, until pieces() begins for tasks that don't use it."""
+    _KEPT.append({})
+    return _KEPT[-1]
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20, keep: dict | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts have at most max_bytes, or one text: memory doesn't grow with a batch.
+
+    keep: what the task uses of kept().
+    """
+    if old := [x for x in _KEPT if x and x is not keep]:
+        for x in old:
+            x.clear()
+        give_back()
     for b in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         i, done = 0, 0

@@ -82,6 +82,92 @@ print(after - mb())
     assert int(got.stdout) < 20
 
 
+PEAK = """
+import re, sys
+from unittest.mock import MagicMock
+import numpy as np, pyarrow as pa
+from helixframe.llm import decontamination, tokens, words
+
+def mb(name):
+    return int(re.search(name + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+
+def task(call):
+    "The function that call gives to mapInArrow."
+    docs = MagicMock()
+    docs.select.return_value = docs.repartitionByRange.return_value = docs.sortWithinPartitions.return_value = docs
+    docs.sparkSession.sparkContext.broadcast = lambda v: MagicMock(value=v)
+    call(docs)
+    return docs.mapInArrow.call_args[0][0]
+
+def grown(run, batch):
+    "MB that a task takes at its peak beyond what it begins with."
+    words.give_back()
+    open("/proc/self/clear_refs", "w").write("5")
+    base = mb("VmRSS")
+    rows = sum(b.num_rows for b in run(iter([batch])))
+    return mb("VmHWM") - base, rows
+
+rng = np.random.default_rng(0)
+vocab = np.array(["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(20_000)])
+texts = [" ".join(x) for x in rng.choice(vocab, (6_000, 500))]
+batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": texts, "lang": ["en"] * len(texts), "source": ["s"] * len(texts), "n_chars": [len(x) for x in texts]})
+"""
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+@pytest.mark.parametrize("words_of", ["texts[0].split()", "vocab.tolist()"])
+def test_decontamination_task_memory(words_of):
+    """A task over 15 MB of texts, few or all words of which a benchmark has, takes little more than their size."""
+    code = PEAK + f"""
+items = [(str(i), " ".join(x)) for i, x in enumerate(np.array_split(np.array({words_of}), 10))]
+items += [("copy", texts[7]), ("part", " ".join(texts[11].split()[:20]))]
+decontamination.F, decontamination.block_count, decontamination.block = MagicMock(), lambda *a: 1, lambda *a: decontamination.build_windows(items)
+print(*grown(task(lambda docs: decontamination.decontaminate(docs, None)), batch))
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ)
+    peak, rows = map(int, got.stdout.split())
+    assert rows == 6000 - 1 - ("split" in words_of)
+    assert peak < 150
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_tokens_task_memory():
+    code = PEAK + """
+sys.modules["pyspark"].TaskContext = MagicMock()
+sys.modules["pyspark"].TaskContext.get().partitionId.return_value = 0
+tokens.F, tokens.partitions, tokens.stored = MagicMock(), lambda spark: 1, lambda df, name: df
+tokens.encoder_of(None).encode("all of it is loaded")
+print(*grown(task(tokens.write_files), batch))
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ)
+    peak, files = map(int, got.stdout.split())
+    assert files > 0 and peak < 120
+
+
+def test_workers_keep_only_what_their_tasks_use():
+    b = pa.record_batch([pa.array(["a", "b"])], ["text"])
+    mine, other = words.kept(), words.kept()
+    mine["x"] = other["x"] = 1
+    assert [x.num_rows for x in words.pieces(iter([b]), keep=mine)] == [2] and mine and not other
+    tokens._ENCODERS["x"] = 1
+    list(words.pieces(iter([b])))
+    assert not mine and not tokens._ENCODERS
+
+
+def test_decontamination_by_pieces(monkeypatch):
+    """Pieces of a shard and several indexes of its runs change nothing."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefg"), n)) if n else None for n in rng.integers(0, 60, 200)]
+    w = decontamination.build_windows([(str(i), " ".join(rng.choice(list("abcde"), n))) for i, n in enumerate(rng.integers(1, 14, 40))])
+    whole = decontamination.search(pa.array(texts), w)[2:]
+    assert whole[0].any() and len(whole[2])
+    for size in (1, 30, 500):
+        monkeypatch.setattr(decontamination, "INDEXED", size)
+        got = decontamination.matches([pa.array(texts[i : i + 7], pa.string()) for i in range(0, len(texts), 7)], w)
+        for a, b in zip(whole, got, strict=True):
+            assert np.array_equal(a, b)
+
+
 def test_xxh64_matches_the_library():
     rng = np.random.default_rng(1)
     buf = rng.integers(0, 256, 5000, dtype=np.uint8)
