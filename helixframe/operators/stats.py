@@ -92,24 +92,36 @@ def difference_statistics(pairs: DataFrame, metrics: dict[str, tuple[bool, bool]
     mapq, and length_bin. kind: value, value_by_length and value_by_mapq (of every row of a
     side); diff, diff_by_length, diff_by_mapq (its own), diff_by_other_mapq and diff_by_value
     (of the rows where the side is not worse, by how much). x is the second bin, or null.
+
+    Equal combinations of bins are counted first, a row a metric; the histograms are sums over these.
     """
     log, no = numbers.log_bin, F.lit(None).cast("int")
-    out = []
+    each = []
     for name, (higher, by_log) in (METRICS if metrics is None else metrics).items():
-        for side, other in (("l", "r"), ("r", "l")):
-            own, its = F.col(f"{side}_{name}").cast("long"), F.col(f"{other}_{name}").cast("long")
-            better = own - its if higher else its - own
-            worth = its if higher else own  # the value that differences are set against
-            mapq, other_mapq = log(F.col(f"{side}_mapq").cast("long")), log(F.col(f"{other}_mapq").cast("long"))
-            row = lambda kind, x, bin, ok: F.struct(F.lit(name).alias("metric"), F.lit(side).alias("side"), F.lit(kind).alias("kind"), x.cast("int").alias("x"), bin.cast("int").alias("bin"), ok.alias("ok"))  # noqa: E731, B023
-            every, good = F.lit(True), better >= 0
-            out += [
-                row("value", no, log(own) if by_log else own, every), row("value_by_length", F.col("length_bin"), log(own), every), row("value_by_mapq", mapq, log(own), every),
-                row("diff", no, log(better) if by_log else better, good), row("diff_by_length", F.col("length_bin"), log(better), good), row("diff_by_mapq", mapq, log(better), good),
-                row("diff_by_other_mapq", other_mapq, log(better), good), row("diff_by_value", log(worth), log(better), good),
-            ]
-    rows = pairs.select("distant", "discordant", F.explode(F.array(*out)).alias("s")).filter("s.ok")
-    return rows.groupBy("s.metric", "s.side", "s.kind", "s.x", "s.bin").agg(F.count("*").alias("n"), F.count_if("distant").alias("n_distant"), F.count_if("discordant").alias("n_discordant"))
+        l, r = F.col(f"l_{name}").cast("long"), F.col(f"r_{name}").cast("long")  # noqa: E741
+        d = l - r if higher else r - l  # by how much the left side is better
+        row = [F.lit(name).alias("metric"), F.lit(higher).alias("higher"), F.lit(by_log).alias("by_log")]
+        each.append(F.struct(*row, *[(log(v) if by_log else v).cast("long").alias(c) for c, v in (("l_own", l), ("r_own", r), ("l_better", d))]))
+    mapq = [log(F.col(f"{s}_mapq").cast("long")).alias(f"{s}_mapq") for s in "lr"]
+    rows = pairs.select("distant", "discordant", "length_bin", *mapq, F.inline(F.array(*each)))
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).withColumn("r_better", -F.col("l_better"))  # bins are alike on both sides of 0
+    binned = lambda c: F.when(F.col("by_log"), F.col(c)).otherwise(log(F.col(c)))
+    rows = rows.select("*", *[binned(f"{s}_{c}").alias(f"{s}_{c}_log") for s in "lr" for c in ("own", "better")])
+    out = []
+    for side, other in (("l", "r"), ("r", "l")):
+        own, better = F.col(f"{side}_own"), F.col(f"{side}_better")
+        own_log, better_log, its_log = F.col(f"{side}_own_log"), F.col(f"{side}_better_log"), F.col(f"{other}_own_log")
+        worth = F.when(F.col("higher"), its_log).otherwise(own_log)  # the value that differences are set against
+        kind = lambda kind, x, bin, ok: F.struct(F.lit(side).alias("side"), F.lit(kind).alias("kind"), x.cast("int").alias("x"), bin.cast("int").alias("bin"), ok.alias("ok"))  # noqa: E731, B023
+        every, good = F.lit(True), better >= 0
+        out += [
+            kind("value", no, own, every), kind("value_by_length", F.col("length_bin"), own_log, every), kind("value_by_mapq", F.col(f"{side}_mapq"), own_log, every),
+            kind("diff", no, better, good), kind("diff_by_length", F.col("length_bin"), better_log, good), kind("diff_by_mapq", F.col(f"{side}_mapq"), better_log, good),
+            kind("diff_by_other_mapq", F.col(f"{other}_mapq"), better_log, good), kind("diff_by_value", worth, better_log, good),
+        ]
+    rows = rows.select("metric", "n", "distant", "discordant", F.inline(F.array(*out))).filter("ok")
+    n = lambda c: F.sum(F.when(F.col(c), F.col("n")).otherwise(0))
+    return rows.groupBy("metric", "side", "kind", "x", "bin").agg(F.sum("n").alias("n"), n("distant").alias("n_distant"), n("discordant").alias("n_discordant"))
 
 
 def stage_statistics(stages: dict[str, DataFrame], key: str) -> DataFrame:
