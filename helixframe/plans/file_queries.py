@@ -154,11 +154,9 @@ def extracted_reads(spark, sf_dir):
 @query(f"WITH {SEQS}, d AS (SELECT DISTINCT seq, min(string_id) OVER (PARTITION BY seq) AS string_id FROM seqs WHERE length(seq) >= 12), {grams_sql('g', 'd', 12, 4)} SELECT gram, count(*) AS n FROM g GROUP BY gram")
 def streamed_grams(spark, sf_dir):
     """Running counts of the grams of sequences that arrive as files in a folder, after the last file."""
-    path, name = workspace(spark, "arriving"), f"grams_{uuid.uuid4().hex}"
+    path = workspace(spark, "arriving")
     sequences(spark, sf_dir).filter("length(seq) >= 12").select("seq").distinct().repartition(3).write.text(path)
-    counts = streams.qgram_counts(streams.lines(spark, path, 2), 12, 4)
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return streams.result(streams.qgram_counts(streams.lines(spark, path, 2), 12, 4), workspace(spark, "grams"))
 
 
 @query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")

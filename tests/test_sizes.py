@@ -26,3 +26,17 @@ def test_difference_statistics_halves(spark, tmp_path):
         rows += [(k, part, 3, 1, a, a, 0.05, 0.0, "R", "O"), (k, 9, 12, 2, b, b, 0.06, 0.0, "N", "O")]
     spark.createDataFrame([*rows, (99, 1, 1, 1, 1.0, 1.0, 0.0, 0.0, "R", "O")], LINES).write.parquet(str(tmp_path / "lineitem.parquet"))
     equal_to_sql(spark, tmp_path, "difference_statistics")
+
+
+def no_memory_tables(spark):
+    return not [r for r in spark.sql("SHOW TABLES").collect() if r.tableName.startswith(("grams_", "best_"))]
+
+
+def test_streamed_grams_driver(spark, tmp_path):
+    """The driver holds no table of grams; no file, or none with a gram, gives no rows."""
+    spark.createDataFrame([(k, "acgt" * (4 + k) + "x", "en", "web", 9) for k in range(5)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    equal_to_sql(spark, tmp_path, "streamed_grams")
+    assert no_memory_tables(spark)
+    none = tmp_path / "none"
+    spark.createDataFrame([(1, "acgt")], "doc_id long, text string").write.parquet(str(none / "documents.parquet"))
+    assert registry.queries()["streamed_grams"](spark, str(none)).collect() == []
