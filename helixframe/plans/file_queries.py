@@ -173,8 +173,7 @@ def streamed_windows(spark, sf_dir):
 @query("SELECT read_id, max(score) AS score FROM (SELECT l_orderkey AS read_id, (l_quantity * 10)::INT AS score FROM lineitem) GROUP BY read_id")
 def streamed_best(spark, sf_dir):
     """Each read's best score over all batches of a stream."""
-    path, name = workspace(spark, "scores"), f"best_{uuid.uuid4().hex}"
+    path = workspace(spark, "scores")
     read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("read_id"), F.round(F.col("l_quantity") * 10).cast("int").alias("score"), F.col("l_partkey").alias("ref_id")).repartition(3).write.parquet(path)
     best = streams.best_so_far(streams.tables(spark, path, "read_id long, score int, ref_id long", 2))
-    best.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("read_id", "score")
+    return streams.result(best, workspace(spark, "best")).select("read_id", "score")

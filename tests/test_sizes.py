@@ -40,3 +40,11 @@ def test_streamed_grams_driver(spark, tmp_path):
     none = tmp_path / "none"
     spark.createDataFrame([(1, "acgt")], "doc_id long, text string").write.parquet(str(none / "documents.parquet"))
     assert registry.queries()["streamed_grams"](spark, str(none)).collect() == []
+
+
+def test_streamed_best_driver(spark, tmp_path):
+    """The driver holds no table of reads; reads of several batches have one best score."""
+    rows = [(k % 700, k % 37, 1, 1, float(k % 50), 1.0, 0.0, 0.0, "R", "O") for k in range(3000)]
+    spark.createDataFrame(rows, LINES).repartition(5).write.parquet(str(tmp_path / "lineitem.parquet"))
+    equal_to_sql(spark, tmp_path, "streamed_best")
+    assert no_memory_tables(spark)
