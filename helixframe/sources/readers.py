@@ -8,7 +8,10 @@ Spark's binary reader. No reader opens a path itself, so any store that Spark kn
 
 from __future__ import annotations
 
+import functools
 import gzip
+import io
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -132,36 +135,86 @@ BAM = "name string, flag int, ref string, pos long, mapq int, cigar string, mate
 
 def parse_bam(data: bytes) -> Iterator[tuple]:
     """The records of an uncompressed BAM stream; places are 1-based as in SAM."""
-    if data[:4] != b"BAM\1":
+    for refs, records in bam_pieces(io.BytesIO(data)):
+        yield from parse_bam_records(refs, records)
+
+
+def bam_pieces(stream, size: int = 1 << 20) -> Iterator[tuple[list[str], bytes]]:
+    """Names of references and whole records, about ``size`` bytes at a time, of an uncompressed BAM stream."""
+
+    def take(n: int) -> bytes:
+        out = stream.read(n)
+        if len(out) < n:
+            raise ValueError("the BAM file is cut off")
+        return out
+
+    number = lambda: struct.unpack("<i", take(4))[0]
+    if stream.read(4) != b"BAM\1":
         raise ValueError("not a BAM file")
-    at = 8 + struct.unpack_from("<i", data, 4)[0]
-    (n,) = struct.unpack_from("<i", data, at)
-    at, refs = at + 4, []
-    for _ in range(n):
-        (size,) = struct.unpack_from("<i", data, at)
-        refs.append(data[at + 4 : at + 3 + size].decode())
-        at += 8 + size
-    name = lambda k: refs[k] if k >= 0 else "*"
+    take(number())
+    refs = []
+    for _ in range(number()):
+        refs.append(take(number())[:-1].decode())
+        take(4)
+    rest = b""
+    while new := stream.read(size):
+        data, at = rest + new, 0
+        while at + 4 <= len(data) and (end := at + 4 + int.from_bytes(data[at : at + 4], "little", signed=True)) <= len(data):
+            at = end
+        if at:
+            yield refs, data[:at]
+        rest = data[at:]
+    if rest:
+        raise ValueError("the BAM file is cut off")
+
+
+_HEX = str.maketrans(dict(zip("0123456789abcdef", SYMBOLS)))
+_PHRED = "".join(chr(q + 33) for q in range(256))
+
+
+@functools.lru_cache(1 << 16)
+def _cigar(ops: bytes) -> str:
+    return "".join(f"{o >> 4}{CIGAR[o & 15]}" for o in struct.unpack(f"<{len(ops) // 4}I", ops)) or "*"
+
+
+def parse_bam_records(refs: list[str], data: bytes) -> Iterator[tuple]:
+    name, at, fields = [*refs, "*"], 0, struct.Struct("<iiiBBHHHiiii").unpack_from  # -1 is the last
     while at < len(data):
-        (size,) = struct.unpack_from("<i", data, at)
-        ref, pos, l_name, mapq, _, n_ops, flag, l_seq, mate_ref, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data, at + 4)
+        size, ref, pos, l_name, mapq, _, n_ops, flag, l_seq, mate_ref, mate_pos, tlen = fields(data, at)
         k = at + 36
         read = data[k : k + l_name - 1].decode()
         k += l_name
-        ops = struct.unpack_from(f"<{n_ops}I", data, k)
+        cigar = _cigar(data[k : k + 4 * n_ops])
         k += 4 * n_ops
-        packed = data[k : k + (l_seq + 1) // 2]
+        seq = data[k : k + (l_seq + 1) // 2].hex().translate(_HEX)[:l_seq]
         k += (l_seq + 1) // 2
-        seq = "".join(SYMBOLS[b >> 4] + SYMBOLS[b & 15] for b in packed)[:l_seq]
         raw = data[k : k + l_seq]
-        quals = "*" if not raw or raw[0] == 255 else "".join(chr(q + 33) for q in raw)
-        yield read, flag, name(ref), pos + 1, mapq, "".join(f"{o >> 4}{CIGAR[o & 15]}" for o in ops) or "*", name(mate_ref), mate_pos + 1, tlen, seq or "*", quals
+        quals = "*" if not raw or raw[0] == 255 else raw.decode("latin-1").translate(_PHRED)
+        yield read, flag, name[max(ref, -1)], pos + 1, mapq, cigar, name[max(mate_ref, -1)], mate_pos + 1, tlen, seq or "*", quals
         at += 4 + size
 
 
 def bam_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of BAM files (blocked gzip), one task a file."""
-    return _files(spark, path, parse_bam, BAM)
+    """The records of BAM files (blocked gzip): one task a file unpacks it and cuts it between records, all tasks parse the pieces."""
+    names = [c.split()[0] for c in BAM.split(", ")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                data = b.column("content")[k].as_py()
+                raw = io.BytesIO(data)
+                for refs, records in bam_pieces(gzip.GzipFile(fileobj=raw) if data[:2] == b"\x1f\x8b" else raw):
+                    yield pa.record_batch([pa.array([refs], pa.list_(pa.string())), pa.array([records], pa.binary())], ["refs", "records"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                rows = parse_bam_records(b.column("refs")[k].as_py(), b.column("records")[k].as_py())
+                while some := list(itertools.islice(rows, 5000)):
+                    yield _batch(some, names, BAM)
+
+    pieces = spark.read.format("binaryFile").load(path).select("content").mapInArrow(cut, "refs array<string>, records binary")
+    return pieces.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, BAM)
 
 
 def bam(spark: SparkSession, path: str) -> DataFrame:

@@ -7,15 +7,16 @@ piece, so any store that Spark knows will do.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .readers import CIGAR, SYMBOLS
+from .readers import CIGAR, SAM_COLUMNS, SYMBOLS
 
 
 def sam_header_lines(references: DataFrame, program: str = "helixframe", version: str = "0.1.0") -> list[str]:
@@ -37,16 +38,18 @@ def _file_system(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def merge_parts(spark: SparkSession, folder: str, target: str) -> None:
-    """One file of a folder's parts, in their order; bytes are copied by the file system, none stays in memory."""
+def merge_parts(spark: SparkSession, folder: str, target: str, head: bytes = b"", tail: bytes = b"") -> None:
+    """One file of a folder's parts, in their order, between head and tail; bytes are copied by the file system, none stays in memory."""
     fs, source = _file_system(spark, folder)
     parts = sorted(str(s.getPath()) for s in fs.listStatus(source) if s.getPath().getName().startswith("part-"))
     to, place = _file_system(spark, target)
     out = to.create(place, True)
+    out.write(bytearray(head))
     for p in parts:
         data = fs.open(spark._jvm.org.apache.hadoop.fs.Path(p))
         spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(data, out, 1 << 16, False)
         data.close()
+    out.write(bytearray(tail))
     out.close()
 
 
@@ -62,22 +65,27 @@ def write_sam(records: DataFrame, references: DataFrame, path: str) -> None:
 
 
 def write_bam(records: DataFrame, references: DataFrame, path: str) -> None:
-    """One BAM file of records with the SAM columns; executors pack and compress, the driver passes on a block of records at a time."""
+    """One BAM file of records with the SAM columns; executors pack, compress and write parts, which the file system puts together.
+
+    Parts are written as text whose line ends are the last byte of a blocked gzip's block: the
+    high byte of its size, always 0.
+    """
     spark = records.sparkSession
     refs = [(r.name, int(r.len)) for r in references.orderBy("name").toLocalIterator()]  # the header's lines
+    number = _numbers(refs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 1000):
-                yield pa.record_batch([pa.array([bgzf(record_bytes(refs, b.slice(k, 1000).to_pylist()), False)], pa.binary())], ["data"])
-
-    fs, place = _file_system(spark, path)
-    out = fs.create(place, True)
-    out.write(bytearray(bgzf(header_bytes(sam_header_lines(references), refs), False)))
-    for r in records.mapInArrow(run, "data binary").toLocalIterator():
-        out.write(bytearray(r.data))
-    out.write(bytearray(bgzf(b"")))
-    out.close()
+                cols = [b.column(c).slice(k, 1000).to_pylist() for c in SAM_COLUMNS]
+                yield pa.record_batch([pa.array([bgzf(_record_bytes(number, zip(*cols)), False)[:-1]], pa.binary())], ["data"])
+
+    folder = f"{path}.parts"
+    parts = records.select(*SAM_COLUMNS).mapInArrow(run, "data binary").select(F.col("data").cast("string").alias("value"))
+    parts.write.mode("overwrite").option("lineSep", "\0").option("compression", "none").text(folder)
+    merge_parts(spark, folder, path, bgzf(header_bytes(sam_header_lines(references), refs), False), bgzf(b""))
+    fs, place = _file_system(spark, folder)
+    fs.delete(place, True)
 
 
 def write_alignments(records: DataFrame, references: DataFrame, path: str) -> None:
@@ -108,19 +116,43 @@ def header_bytes(header: list[str], references: list[tuple[str, int]]) -> bytes:
     return b"".join(out)
 
 
+def _numbers(references: list[tuple[str, int]]) -> dict[str, int]:
+    return {"*": -1} | {name: k for k, (name, _) in enumerate(references)}
+
+
 def record_bytes(references: list[tuple[str, int]], records: list[dict]) -> bytes:
     """BAM records of dicts with the SAM columns."""
-    number, out = {"*": -1} | {name: k for k, (name, _) in enumerate(references)}, []
-    for r in records:
-        ops = [int(n) << 4 | CIGAR.index(o) for n, o in re.findall(r"(\d+)(\D)", r["cigar"])]
-        seq = "" if r["seq"] == "*" else r["seq"]
-        codes = [SYMBOLS.index(c) if c in SYMBOLS else 15 for c in seq] + [0]
-        packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(seq), 2))
-        quals = bytes([255] * len(seq)) if r["quals"] == "*" else bytes(ord(c) - 33 for c in r["quals"])
-        name = r["name"].encode() + b"\0"
-        body = struct.pack("<iiBBHHHiiii", number[r["ref"]], r["pos"] - 1, len(name), r["mapq"], 4680, len(ops), r["flag"], len(seq), number[r["mate_ref"]], r["mate_pos"] - 1, r["tlen"])
-        body += name + struct.pack(f"<{len(ops)}I", *ops) + packed + quals
-        out.append(struct.pack("<i", len(body)) + body)
+    return _record_bytes(_numbers(references), ([r[c] for c in SAM_COLUMNS] for r in records))
+
+
+_DIGITS = str.maketrans(dict(zip(SYMBOLS, "0123456789abcdef")))
+_OTHERS = re.compile(f"[^{SYMBOLS}]")
+_QUALS = bytes((q - 33) % 256 for q in range(256))
+
+
+@functools.lru_cache(1 << 16)
+def _operations(cigar: str) -> tuple[int, bytes]:
+    ops = [int(n) << 4 | CIGAR.index(o) for n, o in re.findall(r"(\d+)(\D)", cigar)]
+    return len(ops), struct.pack(f"<{len(ops)}I", *ops)
+
+
+def _record_bytes(number: dict[str, int], records: Iterable) -> bytes:
+    out = []
+    for name, flag, ref, pos, mapq, cigar, mate_ref, mate_pos, tlen, seq, quals in records:
+        n_ops, ops = _operations(cigar)
+        seq = "" if seq == "*" else seq
+        digits = _OTHERS.sub("N", seq).translate(_DIGITS)
+        packed = bytes.fromhex(digits + "0" if len(seq) % 2 else digits)
+        if quals == "*":
+            q = b"\xff" * len(seq)
+        else:
+            q = quals.encode("latin-1")
+            if q and min(q) < 33:
+                raise ValueError(f"a quality of record {name!r} is below !")
+            q = q.translate(_QUALS)
+        key = name.encode() + b"\0"
+        head = struct.pack("<iiBBHHHiiii", number[ref], pos - 1, len(key), mapq, 4680, n_ops, flag, len(seq), number[mate_ref], mate_pos - 1, tlen)
+        out += [struct.pack("<i", len(head) + len(key) + len(ops) + len(packed) + len(q)), head, key, ops, packed, q]
     return b"".join(out)
 
 

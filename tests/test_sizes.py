@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import compare
 
 from helixframe.plans import registry
+from helixframe.sources import readers, writers
 
 LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
 
@@ -48,3 +49,19 @@ def test_streamed_best_driver(spark, tmp_path):
     spark.createDataFrame(rows, LINES).repartition(5).write.parquet(str(tmp_path / "lineitem.parquet"))
     equal_to_sql(spark, tmp_path, "streamed_best")
     assert no_memory_tables(spark)
+
+
+def test_bam_parts(spark, tmp_path):
+    """Executors write a BAM file's parts and parse its pieces: many tasks, any symbols, no records at all."""
+    names = "name, flag, ref, pos, mapq, cigar, mate_ref, mate_pos, tlen, seq, quals".split(", ")
+    rows = [(f"r{k}", k % 3 * 16, "c1" if k % 2 else "*", k, k % 99, "3M2I" if k % 5 else "*", "*", 0, -k, "ACGTN=MRx"[: k % 10] or "*", "*" if k % 4 == 0 or k % 10 == 0 else "!~I5?+#AB"[: k % 10]) for k in range(30000)]
+    df = spark.createDataFrame(rows, "name string, flag int, ref string, pos long, mapq int, cigar string, mate_ref string, mate_pos long, tlen long, seq string, quals string")
+    refs = spark.createDataFrame([("c1", 99999)], "name string, len int")
+    for part, want in ((df.repartition(3), rows), (df.limit(0), [])):
+        path = str(tmp_path / f"{len(want)}.bam")
+        writers.write_bam(part, refs, path)
+        back = readers.bam_records(spark, path)
+        assert sorted(map(tuple, back.select(names).collect())) == sorted((*r[:9], r[9].replace("x", "N"), r[10]) for r in want)
+    assert back.rdd.getNumPartitions() > 1 and not os.path.exists(f"{path}.parts")
+    with pytest.raises(ValueError, match="cut off"):
+        list(readers.parse_bam(writers.header_bytes(["@HD"], [("c1", 9)]) + b"\x50\0\0\0abc"))
