@@ -65,3 +65,18 @@ def test_bam_parts(spark, tmp_path):
     assert back.rdd.getNumPartitions() > 1 and not os.path.exists(f"{path}.parts")
     with pytest.raises(ValueError, match="cut off"):
         list(readers.parse_bam(writers.header_bytes(["@HD"], [("c1", 9)]) + b"\x50\0\0\0abc"))
+
+
+def test_overlap_of_copies(spark, tmp_path):
+    """Many copies are compared as one: same rows as SQL, and no pair for each two copies."""
+    import random
+
+    rng = random.Random(3)
+    a, b, c = ("".join(rng.choice("ACGT") for _ in range(n)) for n in (300, 200, 90))
+    texts = [a] * 5 + [b, a[:150] + c, c[:60] + b, c, "ACGT" * 20, "ACGT" * 20, "ACGT" * 21, "acg", "", None, a[7:], b.lower()]
+    spark.createDataFrame([((k * 7) % 31, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    equal_to_sql(spark, tmp_path, "qgram_overlap")
+    many = tmp_path / "many"
+    spark.createDataFrame([(k, a) for k in range(30000)], "doc_id long, text string").write.parquet(str(many / "documents.parquet"))
+    got = registry.queries()["qgram_overlap"](spark, str(many))
+    assert got.count() == 30000 and got.filter("string_id = 0").count() == 29999
